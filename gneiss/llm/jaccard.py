@@ -31,11 +31,12 @@ from .components import connected_components
 
 U = np.uint64
 _SEG, _VAL, _CLS = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
+_FULL = (1 << 64) - 1
 PART_BYTES = 12 << 20  # of packed keys that a task compares at once
 FLUSH = 1_500_000  # keys packed at once
 HOT_SHARE = 100_000  # classes with more than this part of all rows are hot; there are at most so many
 COMPONENT_BYTES = 48 << 20  # of sets that a verifying task holds
-COMMON = 0.3  # assumed share of a text's shingles that others have too, for the allocation's cost
+SHARING, PASSAGE = 0.05, 0.3  # for the allocation's cost: share of sets that hold one common passage, its share of them
 
 
 def doc_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -58,8 +59,8 @@ def doc_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def class_of(shingles: np.ndarray) -> int:
     """A set's class: equal for equal sets."""
-    total = mix(shingles ^ _CLS).sum(dtype=np.uint64) + U(len(shingles)) * _SEG
-    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
+    total = int(mix(shingles ^ _CLS).sum(dtype=np.uint64)) + len(shingles) * int(_SEG)
+    return int(mix(np.array([total & _FULL], np.uint64)).view(np.int64)[0])
 
 
 def sketch_of(shingles: np.ndarray) -> int:
@@ -93,32 +94,28 @@ def weak(m: int, n: int, most: int) -> tuple[float, float]:
 
 
 def allocate(first: int, docs: int, num: int, den: int) -> tuple[int, int, int]:
-    """Of the scheme for a band: segments, how many of them (the first ones) delete, and the weak weight that a set may
-    leave out. Chosen by the cost of keys and of the candidates that common shingles are expected to cause."""
-    d = difference(first, num, den)
+    """Of the scheme for a band of ``docs`` sets: segments, how many of them (the first ones) delete, and the weak weight
+    that a set may leave out. Of a grid of these the cheapest by keys a set and by the chance candidates expected where a
+    share of the sets holds one common passage."""
+    d, n = difference(first, num, den), first * 1.1
     best: tuple[float, tuple[int, int, int]] | None = None
-    for share in (0.0, 0.1, 0.25, 0.5, 0.75, 1.0):
-        spare = 0
-        for _ in range(60):
+    for spare in sorted({0, *(math.ceil(d * x) for x in (0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8, 1.0))}):
+        for share in (0.0, 0.15, 0.3, 0.5, 0.75, 1.0):
             need = d + 1 + spare
-            b = int(round(share * need / 2)) if share < 1 else (need + 1) // 2
+            b = (need + 1) // 2 if share == 1 else round(share * need / 2)
             a = max(0, need - 2 * b)
             m = a + b
-            mean, dev = weak(m, first, 1)
             # A segment that deletes weighs 2, and may be weak in either set.
-            wanted = (mean + 2 * dev) * (a + 4 * b) / m if m > 1 else 0
-            if wanted <= spare:
-                break
-            spare = math.ceil(wanted)
-            if spare > 4 * d + 4:
-                break
-        size = first * 1.1 / m
-        keys = a + b * (1 + size)
-        chance = a * COMMON ** max(1, size) + b * (1 + size) * COMMON ** max(1, size - 1)
-        overflow = 0.5 if wanted > spare else 0.0
-        cost = keys + docs * chance * 0.5 + overflow * docs
-        if best is None or cost < best[0]:
-            best = cost, (m, b, spare if b == 0 else spare // 2)
+            allowed = spare if b == 0 else spare // 2
+            mean, dev = weak(m, round(n), 1)
+            weight = (a + 2 * b) / m
+            over = 0.5 * math.erfc((allowed + 0.5 - mean * weight) / (max(dev * weight, 0.3) * math.sqrt(2)))
+            size, own = n / m, (1 - PASSAGE) * n / m
+            alone = math.exp(-2 * own)
+            chance = a * alone + b * (1 + own) ** 2 * alone + over * mean
+            cost = a + b * (1 + size) - (1 - over) * mean + 2 * docs * (SHARING**2 * chance + over**2 * m * math.exp(-2 * size))
+            if best is None or cost < best[0]:
+                best = cost, (m, b, allowed)
     assert best is not None
     return best[1]
 
@@ -132,7 +129,7 @@ def keys_of(shingles: np.ndarray, values: np.ndarray, spots: np.ndarray, scheme:
     which = seg[first]
     sums = np.add.reduceat(values, first)
     counts = np.diff(np.append(first, len(seg)))
-    salt = U(scheme) * _CLS
+    salt = U(scheme * int(_CLS) & _FULL)
     strong = counts > 1
     weak_weight = (m - b) + 2 * b - int(np.where(which[strong] < b, 2, 1).sum())
     every = weak_weight > spare
@@ -315,7 +312,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
             good.append(den * both >= num * (len(s) + len(t) - both))
         return left.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return placed.groupBy("task").cogroup(shipped.groupBy("task")).applyInArrow(verify, "a long, b long")
+    shipped = shipped.select(F.col("task").alias("at"), "id", "members")
+    return placed.groupBy("task").cogroup(shipped.groupBy("at")).applyInArrow(verify, "a long, b long")
 
 
 def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, mixing, secrets, vafile
+from . import chat, html, jaccard, mixing, secrets, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_secrets": secrets.op2_secrets,
     "op3_chat": chat.op3_chat,
     "op4_topk": vafile.op4_topk,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op8_html": html.op8_html,
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op4_topk": vafile.OP4_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op4_topk": vafile.OP4_SQL, "op6_jaccard": jaccard.OP6_SQL}
