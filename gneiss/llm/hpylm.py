@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, id_bucket, materialize, mix, pieces, raw_bytes, word_bounds
+from .common import checkpoint, hash_words, id_bucket, materialize, mix, pieces, raw_bytes, word_bounds
 
 U = np.uint64
 CONTEXTS = 1 << 16
@@ -68,27 +68,24 @@ def part_of(w: np.ndarray, context: np.ndarray, parts: int, hot: np.ndarray) ->
     return (((key >> U(32)) * U(parts)) >> U(32)).astype(np.int64), place
 
 
-def _hot(docs: DataFrame, parts: int) -> tuple[np.ndarray, int]:
-    """Words that hold at least 1 / (4 parts) of the training tokens, or more, sorted; and the training tokens.
+def _hot(docs: DataFrame, parts: int) -> np.ndarray:
+    """Words that hold 1 / (4 parts) of all tokens or more, sorted; at most 8 parts of them.
 
     A batch reports words with 1 / (8 parts) of its tokens; what it leaves out can't hide more than that share of all."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            learn = batch.column(0).to_numpy(zero_copy_only=False)
-            kept = []
-            for first, end, w, _, cut in doc_tokens(batch.column(1)):
-                kept.append(w[np.repeat(learn[first:end], np.diff(cut))])
+            kept = [w for _, _, w, _, _ in doc_tokens(batch.column(0))]
             all_ = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
             u, n = np.unique(all_, return_counts=True)
             big = n * 8 * parts >= len(all_)
             yield pa.RecordBatch.from_arrays([pa.array(u[big].view(np.int64)), pa.array(n[big])], ["w", "n"])
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([len(all_)], pa.int64())], ["w", "n"])
 
-    counted = materialize(docs.select("learn", "text").mapInArrow(f, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "frequent")
+    counted = materialize(docs.select("text").mapInArrow(f, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "frequent")
     total = counted.where("w is null").agg(F.sum("n")).first()[0] or 0
     rows = counted.where(F.col("w").isNotNull() & (F.col("n") * 8 * parts >= max(1, total))).toArrow()  # at most 8 parts rows
-    return np.sort(rows.column("w").to_numpy().view(np.uint64)), total
+    return np.sort(rows.column("w").to_numpy().view(np.uint64))
 
 
 def _tokens(docs: DataFrame, parts: int, hot) -> DataFrame:
@@ -97,10 +94,10 @@ def _tokens(docs: DataFrame, parts: int, hot) -> DataFrame:
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            learn = batch.column(1).to_numpy(zero_copy_only=False)
+            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
+            learn = batch.column(2).to_numpy(zero_copy_only=False)
             ws, cs, ds, held = [], [], [], 0
-            for first, end, w, c, cut in doc_tokens(batch.column(2)):
+            for first, end, w, c, cut in doc_tokens(batch.column(3)):
                 ws.append(w), cs.append(c), ds.append(np.repeat(np.arange(first, end), np.diff(cut)))
                 held += len(w)
                 if held > 3_000_000:
@@ -109,7 +106,7 @@ def _tokens(docs: DataFrame, parts: int, hot) -> DataFrame:
             if ws:
                 yield _pack(ws, cs, ds, keys, learn, parts, hot.value)
 
-    return docs.select("key", "learn", "text").mapInArrow(f, "part int, docs binary, learn binary, sizes binary, words binary, hot binary, word binary, context binary")
+    return docs.select("id", "key", "learn", "text").mapInArrow(f, "part int, docs binary, learn binary, sizes binary, words binary, hot binary, word binary, context binary")
 
 
 def _pack(ws: list, cs: list, ds: list, keys: np.ndarray, learn: np.ndarray, parts: int, hot: np.ndarray) -> pa.RecordBatch:
@@ -126,7 +123,7 @@ def _pack(ws: list, cs: list, ds: list, keys: np.ndarray, learn: np.ndarray, par
         low = np.ascontiguousarray(words.view(np.uint8).reshape(-1, 8)[:, :5])
         index = at.astype(np.uint16) if len(words) <= 65_536 else at.astype(np.uint32)
         sizes = np.diff(np.append(docs, b - a)).astype(np.uint32)
-        rows.append((int(part[a]), keys[who].tobytes(), np.packbits(learn[who]).tobytes(), sizes.tobytes(), low.tobytes(), place[a:b][first].astype(np.int32).tobytes(), index.tobytes(), c[a:b].astype(np.uint16).tobytes()))
+        rows.append((int(part[a]), np.ascontiguousarray(keys[who]).tobytes(), np.packbits(learn[who]).tobytes(), sizes.tobytes(), low.tobytes(), place[a:b][first].astype(np.int32).tobytes(), index.tobytes(), c[a:b].astype(np.uint16).tobytes()))
     columns = list(zip(*rows))
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(x, pa.binary()) for x in columns[1:])], ["part", "docs", "learn", "sizes", "words", "hot", "word", "context"])
 
@@ -226,60 +223,70 @@ def seat(counts: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float,
 
 
 class Sweeps:
-    """The state of a part's restaurants, swept from its seed by the history of what all parts said."""
-
-    def __init__(self, part: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, hot: np.ndarray, setup: dict):
-        self.part, self.word, self.context, self.count, self.hot, self.setup = part, word, context, count, hot, setup
-        self.tables = np.ones(len(count), np.int64)
-        self.n_words = len(hot)
-
-    def parent(self, past: dict, sweep: int) -> np.ndarray:
-        """Probability of each of the part's words in the parent, after ``sweep`` sweeps, whose sums ``past`` has."""
-        s = self.setup
-        customers = np.bincount(self.word, self.tables, self.n_words).astype(np.int64)
+    """The state of a part's restaurants. Pairs seen once sit at one table whatever happens; they are kept as sums."""
+
+    def __init__(self, part: int, hot: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
+        self.part, self.hot, self.n_words = part, hot, len(hot)
+        word, context = pairs // CONTEXTS, pairs % CONTEXTS
+        one = counts == 1
+        self.single_words = np.bincount(word[one], minlength=self.n_words)
+        self.single_contexts = np.bincount(context[one], minlength=CONTEXTS)
+        self.word, self.context, self.count = word[~one], context[~one], counts[~one]
+        self.tables = np.ones(len(self.count), np.int64)
+
+    def customers(self) -> np.ndarray:
+        """Of the part's words in the parent, as far as this part has them."""
+        return self.single_words + np.bincount(self.word, self.tables, self.n_words).astype(np.int64)
+
+    def parent(self, setup: dict, past: list[dict]) -> np.ndarray:
+        """Probability of each of the part's words in the parent, by the last sums of ``past``."""
+        now, before = past[-1], past[-2] if len(past) > 1 else None
+        customers = self.customers()
         is_hot = self.hot >= 0
-        customers[is_hot] = past["hot"][self.hot[is_hot]]
-        tables = self.parent_tables(customers, sweep, past)
-        top = np.where(customers > 0, customers - s["d0"] * tables, 0.0)
-        return (top + (s["s0"] + s["d0"] * past["root_tables"]) * s["base"]) / (s["s0"] + past["root_customers"])
-
-    def parent_tables(self, customers: np.ndarray, sweep: int, past: dict) -> np.ndarray:
-        s = self.setup
+        customers[is_hot] = now["hot"][self.hot[is_hot]]
         tables = np.zeros(self.n_words, np.int64)
-        if s["base"] <= 0:
-            return tables
-        for which, seed in ((self.hot < 0, (s["seed"], sweep, 1, self.part)), (self.hot >= 0, None)):
-            at = np.flatnonzero(which & (customers > 0))
-            if not len(at):
-                continue
-            rest = np.full(len(at), max(0, past["root_tables"] - 1), np.float64)
-            if seed is not None:
-                tables[at] = seat(customers[at], rest, np.full(len(at), s["base"]), s["d0"], s["s0"], np.random.default_rng(seed))
-            else:  # a hot word is in many parts: each draws the same
-                for i in at:
-                    tables[i] = seat(customers[[i]], rest[:1], np.array([s["base"]]), s["d0"], s["s0"], np.random.default_rng((s["seed"], sweep, 2, int(self.hot[i]))))[0]
-        return tables
-
-    def sweep(self, p: np.ndarray, past: dict, sweep: int) -> None:
-        s = self.setup
-        several = np.flatnonzero(self.count > 1)
-        others = past["contexts"][self.context[several]] - self.tables[several]
-        rng = np.random.default_rng((s["seed"], sweep, 0, self.part))
-        self.tables[several] = seat(self.count[several], np.maximum(others, 0), p[self.word[several]], s["d1"], s["s1"], rng)
-
-    def sums(self, sweep: int, past: dict | None) -> np.ndarray:
-        """Tables by context, by hot word, and of the parent: customers and tables of words that aren't hot."""
-        s = self.setup
-        customers = np.bincount(self.word, self.tables, self.n_words).astype(np.int64)
-        out = np.zeros(CONTEXTS + s["hot"] + 2, np.int64)
-        np.add.at(out, self.context, self.tables)
+        tables[~is_hot] = parent_tables(customers[~is_hot], setup, before, (len(past) - 1, 1, self.part))
+        tables[is_hot] = now["hot_tables"][self.hot[is_hot]]
+        top = np.where(customers > 0, customers - setup["d0"] * tables, 0.0)
+        return (top + (setup["s0"] + setup["d0"] * now["root_tables"]) * setup["base"]) / (setup["s0"] + now["root_customers"])
+
+    def sweep(self, setup: dict, past: list[dict]) -> np.ndarray:
+        """Draws all tables anew, given the last sums; the parent's probabilities by which it did."""
+        p = self.parent(setup, past)
+        others = np.maximum(past[-1]["contexts"][self.context] - self.tables, 0)
+        rng = np.random.default_rng((setup["seed"], len(past), 0, self.part))
+        self.tables = seat(self.count, others, p[self.word], setup["d1"], setup["s1"], rng)
+        return p
+
+    def sums(self, setup: dict, past: list[dict]) -> np.ndarray:
+        """Tables by context, customers of the hot words, customers and tables of the other words in the parent."""
+        customers = self.customers()
         is_hot = self.hot >= 0
+        out = np.zeros(CONTEXTS + setup["hot"] + 2, np.int64)
+        out[:CONTEXTS] = self.single_contexts + np.bincount(self.context, self.tables, CONTEXTS).astype(np.int64)
         np.add.at(out, CONTEXTS + self.hot[is_hot], customers[is_hot])
-        out[-2] = customers[~is_hot].sum()
-        start = past or {"root_tables": 0}
-        out[-1] = np.where(is_hot, 0, self.parent_tables(np.where(is_hot, 0, customers), sweep, start)).sum()
+        rest = customers[~is_hot]
+        out[-2] = rest.sum()
+        out[-1] = parent_tables(rest, setup, past[-1] if past else None, (len(past), 1, self.part)).sum()
         return out
 
+    def replay(self, setup: dict, past: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The sweeps whose sums are known: the parent's probabilities after each, and the tables."""
+        for n in range(1, len(past)):
+            self.sweep(setup, past[:n])
+            yield self.parent(setup, past[: n + 1]), self.tables
+
+
+def parent_tables(customers: np.ndarray, setup: dict, before: dict | None, seed: tuple) -> np.ndarray:
+    """Tables of words with so many customers in the parent, given its other tables as they were before."""
+    rest = max(0, (before["root_tables"] if before else 0) - 1)
+    tables = np.zeros(len(customers), np.int64)
+    at = np.flatnonzero(customers > 0)
+    if len(at):
+        rng = np.random.default_rng((setup["seed"], *seed))
+        tables[at] = seat(customers[at], np.full(len(at), rest), np.full(len(at), setup["base"]), setup["d0"], setup["s0"], rng)
+    return tables
+
 
 def _arrays(totals: DataFrame, size: int) -> np.ndarray:
     """The sum of arrays that parts sent in chunks of CHUNK; as large as ``size`` whatever the input."""
@@ -296,15 +303,15 @@ def _add(pdf):
 
 
 def _chunks(x: np.ndarray) -> pa.RecordBatch:
-    at = range(0, len(x), CHUNK)
+    at = [i for i in range(0, len(x), CHUNK) if x[i : i + CHUNK].any()]
     return pa.RecordBatch.from_arrays([pa.array([i // CHUNK for i in at], pa.int32()), pa.array([x[i : i + CHUNK].tobytes() for i in at], pa.binary())], ["at", "sums"])
 
 
-def _each_part(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, list[dict]]]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """A partition's rows by part; they come sorted by it."""
     held: list[dict] = []
     for batch in batches:
-        for row in batch.select(["part", *columns]).to_pylist():
+        for row in batch.to_pylist():
             if held and held[0]["part"] != row["part"]:
                 yield held[0]["part"], held
                 held = []
@@ -313,18 +320,148 @@ def _each_part(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterato
         yield held[0]["part"], held
 
 
-def model_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, sweeps: int = 5, burn_in: int = 2, seed: int = 11) -> DataFrame:
+def _counts(packed: DataFrame) -> DataFrame:
+    """The training counts of each part."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _parts(batches):
+            p = Part(rows)
+            pairs, counts = p.count()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (p.hot.astype(np.int32), pairs, counts))], ["part", "hot", "pairs", "counts"])
+
+    return packed.mapInArrow(f, "part int, hot binary, pairs binary, counts binary")
+
+
+def _open(row: dict) -> Sweeps:
+    return Sweeps(row["part"], np.frombuffer(row["hot"], np.int32).astype(np.int64), np.frombuffer(row["pairs"], np.int64), np.frombuffer(row["counts"], np.int64))
+
+
+def _statistics(counted: DataFrame, n_hot: int) -> np.ndarray:
+    """By context the customers, by hot word its count, and: words that aren't hot, tokens, pairs and words of that kind seen
+    once and twice."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                hot, pairs, counts = np.frombuffer(row["hot"], np.int32), np.frombuffer(row["pairs"], np.int64), np.frombuffer(row["counts"], np.int64)
+                out = np.zeros(CONTEXTS + n_hot + 6, np.int64)
+                np.add.at(out, pairs % CONTEXTS, counts)
+                words = np.bincount(pairs // CONTEXTS, counts, len(hot)).astype(np.int64)
+                kinds = np.bincount(pairs // CONTEXTS, minlength=len(hot))
+                is_hot = hot >= 0
+                np.add.at(out, CONTEXTS + hot[is_hot], words[is_hot])
+                rest = kinds[~is_hot]
+                out[-6:] = (words[~is_hot] > 0).sum(), counts.sum(), (counts == 1).sum(), (counts == 2).sum(), (rest == 1).sum(), (rest == 2).sum()
+                yield _chunks(out)
+
+    return _arrays(counted.mapInArrow(f, "at int, sums binary"), CONTEXTS + n_hot + 6)
+
+
+def _discount(once: int, twice: int) -> float:
+    return float(np.clip(once / max(1, once + 2 * twice), 0.1, 0.95))
+
+
+def _past(sums: np.ndarray, setup: dict, past: list[dict]) -> dict:
+    """What the sums of a sweep say, with the hot words' tables in the parent."""
+    hot = sums[CONTEXTS:-2]
+    hot_tables = parent_tables(hot, setup, past[-1] if past else None, (len(past), 2, 0))
+    return {"contexts": sums[:CONTEXTS], "hot": hot, "hot_tables": hot_tables, "root_customers": int(sums[-2] + hot.sum()), "root_tables": int(sums[-1] + hot_tables.sum())}
+
+
+def learn(counted: DataFrame, n_hot: int, sweeps: int, seed: int, strengths: tuple[float, float]) -> tuple[dict, list[dict]]:
+    """The model's settings and the sums after each sweep."""
+    stats = _statistics(counted, n_hot)
+    words, tokens, once, twice, alone, pairs = (int(x) for x in stats[-6:])
+    hot_counts = stats[CONTEXTS:-6]
+    vocabulary = words + int((hot_counts > 0).sum())
+    setup = {
+        "seed": seed, "hot": n_hot, "base": 1 / (vocabulary + 1), "vocabulary": vocabulary, "tokens": tokens, "hot_counts": hot_counts, "customers": stats[:CONTEXTS],
+        "d1": _discount(once, twice), "d0": _discount(alone, pairs), "s1": strengths[1], "s0": strengths[0],
+    }
+    past: list[dict] = []
+    for _ in range(sweeps + 1):
+        sent = counted.sparkSession.sparkContext.broadcast((setup, past))
+
+        def f(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            setup, past = sent.value
+            for batch in batches:
+                for row in batch.to_pylist():
+                    s = _open(row)
+                    for n in range(1, len(past) + 1):
+                        s.sweep(setup, past[:n])
+                    yield _chunks(s.sums(setup, past))
+
+        past = [*past, _past(_arrays(counted.mapInArrow(f, "at int, sums binary"), CONTEXTS + n_hot + 2), setup, past)]
+    return setup, past
+
+
+def _scores(packed: DataFrame, setup: dict, past: list[dict], burn_in: int) -> DataFrame:
+    """Of each text and part: tokens, known tokens, and the sums of the logarithms."""
+    sent = packed.sparkSession.sparkContext.broadcast((setup, past))
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        setup, past = sent.value
+        for part, rows in _parts(batches):
+            p = Part(rows)
+            pairs, counts = p.count()
+            s = Sweeps(part, p.hot, pairs, counts)
+            several = np.flatnonzero(counts > 1)
+            samples = []
+            for n, (parent, tables) in enumerate(s.replay(setup, past)):
+                if n >= burn_in:
+                    t = np.ones(len(counts), np.int32)
+                    t[several] = tables
+                    samples.append((parent, t, past[n + 1]["contexts"]))
+            seen = np.bincount(pairs // CONTEXTS, counts, len(p.words)).astype(np.int64)
+            is_hot = p.hot >= 0
+            seen[is_hot] = setup["hot_counts"][p.hot[is_hot]]
+            base = np.log10((seen + 0.5) / (setup["tokens"] + 0.5 * (setup["vocabulary"] + 1)))
+            for k, row in enumerate(rows):
+                pair, text, _ = p.tokens(k)
+                u, at = np.unique(pair, return_inverse=True)
+                word, context = u // CONTEXTS, u % CONTEXTS
+                where = np.searchsorted(pairs, u)
+                where[where == len(pairs)] = 0
+                there = pairs[where] == u if len(pairs) else np.zeros(len(u), bool)
+                c = np.where(there, counts[where], 0) if len(pairs) else np.zeros(len(u))
+                total = np.zeros(len(u))
+                for parent, tables, contexts in samples:
+                    t = np.where(there, tables[where], 0) if len(pairs) else 0
+                    total += (c - setup["d1"] * t + (setup["s1"] + setup["d1"] * contexts[context]) * parent[word]) / (setup["s1"] + setup["customers"][context])
+                logs = np.log10(total / len(samples))
+                n = len(row["sizes"]) // 4
+                both = np.frombuffer(row["docs"], np.int64).reshape(-1, 2)
+                columns = [both[:, 0], both[:, 1], np.bincount(text, minlength=n), np.bincount(text, (seen[word] > 0)[at], n).astype(np.int64), np.bincount(text, base[word][at], n), np.bincount(text, logs[at], n)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "key", "n", "known", "base", "logs"])
+
+    return packed.mapInArrow(f, "id long, key long, n long, known long, base double, logs double")
+
+
+def model_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, sweeps: int = 5, burn_in: int = 2, seed: int = 11, strengths: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", (id_bucket(folds) != held_out).alias("learn"))
-    # Rows may repeat an id: a text is known by the hash of both, and equal rows share one score.
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    chars = rows.agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))), F.count("*")).first()
-    guess = (chars[0] or 0) / 6.0 + chars[1]
-    parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(guess * 5 / (1 << 20))), math.ceil(guess * 5 / PART_BYTES), 1)
-    hot, total = _hot(rows, parts)
-    sent_hot = spark.sparkContext.broadcast(hot)
-    packed = materialize(_tokens(rows, parts, sent_hot).repartition(parts, "part").sortWithinPartitions("part"), "tokens")
-    columns = ["docs", "learn", "sizes", "words", "hot", "word", "context"]
-    grouped = packed.repartition(parts, "part") if False else packed
-    return _score(spark, rows, grouped, columns, hot, total, sweeps, burn_in, seed)
+    # A text is known by its id and the hash of both; rows equal in these share one score.
+    rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("key", F.xxhash64("doc_id", "text"))
+    chars, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    guess = ((chars or 0) / 6 + n) * 5  # bytes of packed tokens
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(guess / (1 << 20))), math.ceil(guess / PART_BYTES))
+    hot = _hot(rows, parts)
+    packed = checkpoint(_tokens(rows, parts, spark.sparkContext.broadcast(hot)).repartitionById(parts, "part").sortWithinPartitions("part"))
+    counted = checkpoint(_counts(packed))
+    setup, past = learn(counted, len(hot), sweeps, seed, strengths)
+    found = _scores(packed, setup, past, min(burn_in, sweeps - 1))
+    found = found.groupBy("id", "key").agg(*(F.sum(c).alias(c) for c in ("n", "known", "base", "logs")))
+    each = rows.select("doc_id", "learn", "id", "key")
+    times = each.groupBy("id", "key").count().where("count > 1").select("id", "key", F.col("count").alias("times"))
+    out = each.join(found, ["id", "key"]).join(times, ["id", "key"], "left")
+    k = F.coalesce("times", F.lit(1))
+    return out.select(
+        "doc_id", (~F.col("learn")).alias("held_out"), (F.col("n") / k).cast("long").alias("n_tokens"), (F.col("known") / k).cast("long").alias("n_known"),
+        F.lit(setup["tokens"]).cast("long").alias("train_tokens"), (F.col("base") / k).alias("base_score"), (F.col("logs") / k).alias("score"),
+    )
+
+
+def op9_hpylm(spark, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of those outside the held-out fold."""
+    return model_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
