@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from .common import materialize, n_words, small
 
+OWN = frozenset("doc_id source size source_size target taken".split())
 BUCKET = 4  # hex digits of the hash that make a bucket: 65,536 buckets a source
 
 
@@ -58,10 +59,16 @@ def water_fill(sources: DataFrame, share: float, epochs: float) -> DataFrame:
     return sources.withColumn("target", F.when(cap <= F.col("weight") * F.lit(level), cap).otherwise(F.col("weight") * F.lit(level)))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of ``docs`` (doc_id, source, text)."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 17, whole_rows: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row of ``docs`` (doc_id, source, text); with
+    ``whole_rows`` its other columns too, but for those with a name that the plan uses itself."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
     rows = materialize(docs.select("doc_id", "source", n_words().alias("size"), key.alias("h")), "sizes")
+    others = [c for c in docs.columns if whole_rows and c.lower() not in OWN]
+    if whole_rows:
+        read = docs.select("doc_id", "source", n_words().alias("size"), key.alias("h"), *([F.struct(*(f"`{c}`" for c in others)).alias("row")] if others else []))
+    else:
+        read = rows
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources, n = ranked_sources(totals, weights)
     sources = materialize(water_fill(sources, share, epochs), "targets")
@@ -81,12 +88,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         .agg(F.min_by("b", "b").alias("edge"), F.min_by(F.col("upto") - F.col("words"), "b").alias("done"))
     )
     plan = materialize(plan.join(small(edge, n), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "plan")
-    d = rows.withColumn("b", bucket).join(small(plan.withColumnRenamed("source", "s"), n), F.col("source").eqNullSafe(F.col("s")))
+    d = read.withColumn("b", bucket).join(small(plan.withColumnRenamed("source", "s"), n), F.col("source").eqNullSafe(F.col("s")))
     plain = d.where("edge is null or b <> edge").withColumn("extra", F.when(F.col("edge").isNull() | (F.col("b") < F.col("edge")), F.when(F.col("rest") > 0, F.col("size")).otherwise(0)).otherwise(0))
     inner = Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.col("done") + F.sum("size").over(inner) - F.col("size")
     at_edge = d.where("b = edge").withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before)))
-    columns = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken")]
+    columns = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), *(F.col("row")[c].alias(c) for c in others)]
     return plain.select(*columns).unionByName(at_edge.select(*columns))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, hpylm, html, jaccard, mixing, secrets, toxicity, vafile
+from . import chat, decontam, hpylm, html, jaccard, mixing, rollup, secrets, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_topk": vafile.op4_topk,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_jaccard": jaccard.op6_jaccard,
+    "op7_tokens": rollup.op7_tokens,
     "op8_html": html.op8_html,
     "op9_hpylm": hpylm.op9_hpylm,
     "op10_decontam": decontam.op10_decontam,
