@@ -5,8 +5,9 @@ classes are banded by size; in the scheme of a band the universe of shingles is
 similar differ in at most D shingles, so by the pigeonhole principle they agree in some segment, or differ there by one
 shingle at most: the keys of a set are its subset in each segment and, in the segments to which the allocation gives one
 deletion, the subset less any one shingle. How many segments delete is chosen by cost from the counted sizes of the bands.
-Segments in which a set has one shingle or none say little; a scheme has as many segments to spare as a set usually has of
-these, and a set with more of them shows all its keys, so no pair is lost.
+Shingles that many texts hold (passages, licences) stay out of it: similar sets differ by no more in their rare shingles.
+Empty segments say little; a scheme has as many segments to spare as a set usually has of these, and a set with more of them
+shows all its keys and the partition of all its shingles besides, so no pair is lost.
 
 Keys travel packed, a blob for each batch and part. Sets that share a key are candidates, unless their sizes or their
 parity sketches rule them out; candidates are verified exactly on the whole sets, each shipped once to each component.
@@ -36,7 +37,8 @@ PART_BYTES = 12 << 20  # of packed keys that a task compares at once
 FLUSH = 1_500_000  # keys packed at once
 HOT_SHARE = 100_000  # classes with more than this part of all rows are hot; there are at most so many
 COMPONENT_BYTES = 48 << 20  # of sets that a verifying task holds
-SHARING, PASSAGE = 0.05, 0.3  # for the allocation's cost: share of sets that hold one common passage, its share of them
+COMMON_SHARE = 2_000  # a shingle in more than this part of all texts is common; 2,000 times a text's shingles at most are
+SHARING = 1 / (20 * COMMON_SHARE)  # for the allocation's cost: share of texts that hold a shingle that isn't common
 
 
 def doc_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -95,8 +97,7 @@ def weak(m: int, n: int, most: int) -> tuple[float, float]:
 
 def allocate(first: int, docs: int, num: int, den: int) -> tuple[int, int, int]:
     """Of the scheme for a band of ``docs`` sets: segments, how many of them (the first ones) delete, and the weak weight
-    that a set may leave out. Of a grid of these the cheapest by keys a set and by the chance candidates expected where a
-    share of the sets holds one common passage."""
+    that a set may leave out. Of a grid of these the cheapest by keys a set and by the chance candidates to be expected."""
     d, n = difference(first, num, den), first * 1.1
     best: tuple[float, tuple[int, int, int]] | None = None
     for spare in sorted({0, *(math.ceil(d * x) for x in (0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8, 1.0))}):
@@ -107,21 +108,37 @@ def allocate(first: int, docs: int, num: int, den: int) -> tuple[int, int, int]:
             m = a + b
             # A segment that deletes weighs 2, and may be weak in either set.
             allowed = spare if b == 0 else spare // 2
-            mean, dev = weak(m, round(n), 1)
-            weight = (a + 2 * b) / m
-            over = 0.5 * math.erfc((allowed + 0.5 - mean * weight) / (max(dev * weight, 0.3) * math.sqrt(2)))
-            size, own = n / m, (1 - PASSAGE) * n / m
-            alone = math.exp(-2 * own)
-            chance = a * alone + b * (1 + own) ** 2 * alone + over * mean
-            cost = a + b * (1 + size) - (1 - over) * mean + 2 * docs * (SHARING**2 * chance + over**2 * m * math.exp(-2 * size))
+            (mean, dev), (mean2, dev2) = weak(m, round(n), 0), weak(m, round(n), 1)
+            mean, dev = mean * a / m + 2 * mean2 * b / m, math.hypot(dev * a / m, 2 * dev2 * b / m)
+            over = 0.5 * math.erfc((allowed + 0.5 - mean) / (max(dev, 0.3) * math.sqrt(2)))
+            size = n / m
+            # Keys a set; twice as many if it has to show all; candidates by one shingle that is just not common.
+            keys = (a + b * (1 + size) - (1 - over) * mean) * (1 + over)
+            alone = a * size * math.exp(-size) + b * 2 * size * size * math.exp(-size)
+            cost = keys + docs * (SHARING * alone + over**2 * m * math.exp(-2 * size))
             if best is None or cost < best[0]:
                 best = cost, (m, b, allowed)
     assert best is not None
     return best[1]
 
 
-def keys_of(shingles: np.ndarray, values: np.ndarray, spots: np.ndarray, scheme: int, m: int, b: int, spare: int) -> np.ndarray:
-    """The keys of a set in a scheme."""
+def keys_of(shingles: np.ndarray, common: np.ndarray, scheme: int, m: int, b: int, spare: int) -> np.ndarray:
+    """The keys of a set in a scheme. Sets that are similar differ by no more in their rare shingles alone, so these are
+    partitioned; a set with too few for its segments adds, for others like it, the partition of all its shingles."""
+    values, spots = mix(shingles ^ _VAL), mix(shingles + _SEG) >> U(32)
+    rare = ~common
+    keys, every = _segment_keys(values[rare], spots[rare], 2 * scheme, m, b, spare, False)
+    if not every:
+        return keys
+    return np.concatenate([keys, _segment_keys(values, spots, 2 * scheme + 1, m, b, spare, True)[0]])
+
+
+def _segment_keys(values: np.ndarray, spots: np.ndarray, salt: int, m: int, b: int, spare: int, empties: bool) -> tuple[np.ndarray, bool]:
+    """Keys of the segments that aren't weak: with a shingle, or two where one is deleted. If more weight than ``spare`` is
+    in weak ones, which is told, all show their keys, on demand the empty ones too."""
+    salt = U(salt * int(_CLS) & _FULL)
+    if not len(values):
+        return mix(np.arange(m if empties else 0, dtype=np.uint64) * _SEG + salt), True
     seg = ((spots * U(m)) >> U(32)).astype(np.int64)
     order = np.argsort(seg, kind="stable")
     seg, values = seg[order], values[order]
@@ -129,37 +146,54 @@ def keys_of(shingles: np.ndarray, values: np.ndarray, spots: np.ndarray, scheme:
     which = seg[first]
     sums = np.add.reduceat(values, first)
     counts = np.diff(np.append(first, len(seg)))
-    salt = U(scheme * int(_CLS) & _FULL)
-    strong = counts > 1
-    weak_weight = (m - b) + 2 * b - int(np.where(which[strong] < b, 2, 1).sum())
-    every = weak_weight > spare
+    strong = counts > (which < b)
+    every = m + b - int(np.where(which[strong] < b, 2, 1).sum()) > spare
     shown = np.ones(len(which), bool) if every else strong
     out = [sums[shown] ^ (which[shown].astype(np.uint64) * _SEG + salt)]
     if b:
         run = np.repeat(np.arange(len(first)), counts)
-        deleting = (which[run] < b) & shown[run]
+        deleting = (which[run] < b) & shown[run] & ((counts[run] > 1) | empties)
         r = run[deleting]
         out.append((sums[r] - values[deleting]) ^ (which[r].astype(np.uint64) * _SEG + salt))
-    if every and len(which) < m:
-        empty = np.setdiff1d(np.arange(m), which, assume_unique=True).astype(np.uint64)
-        out.append(empty * _SEG + salt)
-    return mix(np.concatenate(out))
+    if every and empties and len(which) < m:
+        out.append(np.setdiff1d(np.arange(m), which, assume_unique=True).astype(np.uint64) * _SEG + salt)
+    return mix(np.concatenate(out)), every
 
 
 # ---- The join ----------------------------------------------------------------------------------------------------------
 
 
 def _describe(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles, cls of each row; and, with ``common`` set, shingles (cls) that a run of texts holds often, and
+    in how many of its classes (n_shingles)."""
+
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        keep = n >= max(2, len(held) / (2 * COMMON_SHARE))
+        h, n = h[keep].view(np.int64), n[keep]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(n), pa.array(h), pa.array(np.ones(len(h), bool))], names)
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            held, size, seen = [], 0, set()
             for i, s in doc_sets(batch.column(1), width):
                 n[i] = len(s)
                 if len(s):
                     cls[i] = class_of(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls, mask=n == 0)], ["doc_id", "n_shingles", "cls"])
+                    if cls[i] not in seen:
+                        seen.add(cls[i])
+                        held.append(s)
+                        size += len(s)
+                if size > FLUSH * 2:
+                    yield often(held)
+                    held, size = [], 0
+            if held:
+                yield often(held)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls, mask=n == 0), pa.array(np.zeros(len(n), bool))], names)
 
-    return docs.mapInArrow(f, "doc_id long, n_shingles long, cls long")
+    names = ["doc_id", "n_shingles", "cls", "common"]
+    return docs.mapInArrow(f, "doc_id long, n_shingles long, cls long, common boolean")
 
 
 def _pack(keys: list[np.ndarray], owners: list[np.ndarray], table: list[tuple[int, int, int]], parts: int) -> pa.RecordBatch:
@@ -179,11 +213,14 @@ def _pack(keys: list[np.ndarray], owners: list[np.ndarray], table: list[tuple[in
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "keys", "place", "cls", "n", "sketch"])
 
 
-def _signatures(docs: DataFrame, width: int, starts: list[int], schemes: dict[int, tuple[int, int, int]], parts: int, hot) -> DataFrame:
+def _signatures(docs: DataFrame, width: int, starts: list[int], schemes: dict[int, tuple[int, int, int]], parts: int, hot, common) -> DataFrame:
     edges = np.array(starts)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_cls, hot_rep = hot.value
+        often = common.value
+        maybe = np.zeros(1 << 20, bool)
+        maybe[(often >> U(44)).astype(np.int64)] = True
         for batch in batches:
             ids = batch.column(0).to_numpy()
             keys: list[np.ndarray] = []
@@ -199,10 +236,15 @@ def _signatures(docs: DataFrame, width: int, starts: list[int], schemes: dict[in
                     continue  # another copy stands for it
                 seen.add(cls)
                 band = int(np.searchsorted(edges, len(s), "right")) - 1
-                values, spots = mix(s ^ _VAL), mix(s + _SEG) >> U(32)
+                is_common = maybe[(s >> U(44)).astype(np.int64)]
+                if is_common.any():
+                    q = s[is_common]
+                    at = np.searchsorted(often, q)
+                    at[at == len(often)] = 0
+                    is_common[is_common] = often[at] == q
                 for scheme in (band, band - 1):
                     if scheme in schemes:
-                        k = keys_of(s, values, spots, scheme, *schemes[scheme])
+                        k = keys_of(s, is_common, scheme, *schemes[scheme])
                         keys.append(k)
                         owners.append(np.full(len(k), len(table), np.int32))
                         held += len(k)
@@ -321,7 +363,8 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     den * |intersection| >= num * |union|."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     spark = docs.sparkSession
-    rows = materialize(_describe(docs, width), "described")
+    described = materialize(_describe(docs, width), "described")
+    rows = described.where("not common").drop("common")
     members = rows.where("cls is not null and doc_id is not null")
     classes = materialize(members.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")), "classes")
     # Counts by power of two and by band; a handful of rows.
@@ -340,9 +383,12 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     hot = classes.where(F.col("copies") > max(1, total // HOT_SHARE)).select("cls", "rep", "copies")
     hot_table = hot.orderBy("cls").toArrow()  # at most HOT_SHARE rows
     sent = spark.sparkContext.broadcast((hot_table.column("cls").to_numpy(), hot_table.column("rep").to_numpy()))
+    # Shingles in more than 1 / COMMON_SHARE of the texts: at most COMMON_SHARE times the mean set's size.
+    often = described.where("common").groupBy("cls").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= max(20, distinct // (2 * COMMON_SHARE)))
+    common = spark.sparkContext.broadcast(np.sort(often.select("cls").toArrow().column("cls").to_numpy().view(np.uint64)))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(min(tasks, math.ceil(shingles * 5 / (1 << 20))), math.ceil(shingles * 5 / PART_BYTES))
-    pairs = materialize(_candidates(_signatures(docs.where("doc_id is not null"), width, starts, schemes, parts, sent), parts, num, den), "candidates")
+    pairs = materialize(_candidates(_signatures(docs.where("doc_id is not null"), width, starts, schemes, parts, sent, common), parts, num, den), "candidates")
     links = materialize(_verified(pairs, docs, classes, width, num, den), "links")
     found = materialize(connected_components(links), "components")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
