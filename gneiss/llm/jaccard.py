@@ -33,9 +33,10 @@ from .components import connected_components
 U = np.uint64
 _SEG, _VAL, _CLS = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
 _FULL = (1 << 64) - 1
-PART_BYTES = 12 << 20  # of packed keys that a task compares at once
+PART_BYTES = 24 << 20  # of packed keys that a task compares at once
 FLUSH = 1_500_000  # keys packed at once
 HOT_SHARE = 100_000  # classes with more than this part of all rows are hot; there are at most so many
+FEW = 1_000_000  # rows of two or three longs that may be broadcast once counted
 COMPONENT_BYTES = 48 << 20  # of sets that a verifying task holds
 COMMON_SHARE = 2_000  # a shingle in more than this part of all texts is common; 2,000 times a text's shingles at most are
 SHARING = 1 / (20 * COMMON_SHARE)  # for the allocation's cost: share of texts that hold a shingle that isn't common
@@ -319,11 +320,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     total = sizes.agg(F.sum("bytes")).first()[0]
     tasks = max(1, math.ceil(total / COMPONENT_BYTES), min(64, n // 200))
     sized = materialize(needed.join(sizes, "component").select("id", "rep", (F.pmod(F.xxhash64("component"), F.lit(tasks))).alias("task"), F.pmod(F.xxhash64("id"), F.ceil(F.col("bytes") / F.lit(COMPONENT_BYTES / 4))).cast("int").alias("block")), "blocks")
-    few = n <= 1_000_000
     one, two = (sized.select(F.col("id").alias(c), F.col("block").alias(f"b{c}"), F.col("task").alias(f"t{c}")) for c in ("a", "b"))
-    placed = pairs.join(one, "a").join(two, "b").select("a", "b", F.concat_ws(":", "ta", F.least("ba", "bb"), F.greatest("ba", "bb")).alias("task"))
+    placed = pairs.join(small(one, n, FEW), "a").join(small(two, n, FEW), "b").select("a", "b", F.concat_ws(":", "ta", F.least("ba", "bb"), F.greatest("ba", "bb")).alias("task"))
     placed = materialize(placed, "placed")
-    wanted = placed.select("task", F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = materialize(placed.select("task", F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,8 +337,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
                     out = []
 
     reps = sized.select(F.col("rep").alias("doc_id"), "id")
-    fetched = docs.join(F.broadcast(reps) if few else reps, "doc_id").select("doc_id", "text", "id").mapInArrow(sets, "id long, members binary")
-    shipped = fetched.dropDuplicates(["id"]).join(wanted, "id").select("task", "id", "members")
+    fetched = docs.join(small(reps, n, FEW), "doc_id").select("doc_id", "text", "id").mapInArrow(sets, "id long, members binary")
+    shipped = fetched.join(small(wanted, wanted.count(), FEW), "id")
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         members = {i: np.frombuffer(m, np.uint64) for i, m in zip(right.column("id").to_pylist(), right.column("members").to_pylist())}
@@ -386,8 +386,8 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     # Shingles in more than 1 / COMMON_SHARE of the texts: at most COMMON_SHARE times the mean set's size.
     often = described.where("common").groupBy("cls").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= max(20, distinct // (2 * COMMON_SHARE)))
     common = spark.sparkContext.broadcast(np.sort(often.select("cls").toArrow().column("cls").to_numpy().view(np.uint64)))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(min(tasks, math.ceil(shingles * 5 / (1 << 20))), math.ceil(shingles * 5 / PART_BYTES))
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(min(cores, math.ceil(shingles * 5 / (1 << 20))), math.ceil(shingles * 5 / PART_BYTES))
     pairs = materialize(_candidates(_signatures(docs.where("doc_id is not null"), width, starts, schemes, parts, sent, common), parts, num, den), "candidates")
     links = materialize(_verified(pairs, docs, classes, width, num, den), "links")
     found = materialize(connected_components(links), "components")
