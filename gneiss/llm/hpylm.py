@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,33 +90,37 @@ def _hot(docs: DataFrame, parts: int) -> np.ndarray:
 
 
 def _tokens(docs: DataFrame, parts: int, hot) -> DataFrame:
-    """Packed tokens, a row for each batch and part: the batch's key, ids of texts as places in it, and for each text its
-    tokens as places in the row's sorted words and contexts."""
+    """Packed tokens, a row for each batch of texts and part: places of its texts in the batch, how many tokens of each, and
+    the tokens as places in the row's sorted words, and contexts. One row more a batch has the ids of its texts.
+
+    A batch is named by its partition and number, so ``docs`` must give the same rows in the same order when a task is run
+    again, as a table or a checkpoint does."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = TaskContext.get().partitionId() << 32
         for batch in batches:
             keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
             learn = batch.column(2).to_numpy(zero_copy_only=False)
-            ws, cs, ds, held = [], [], [], 0
+            ws, cs, ds, held, start = [], [], [], 0, 0
             for first, end, w, c, cut in doc_tokens(batch.column(3)):
-                ws.append(w), cs.append(c), ds.append(np.repeat(np.arange(first, end), np.diff(cut)))
+                ws.append(w), cs.append(c), ds.append(np.repeat(np.arange(first - start, end - start), np.diff(cut)))
                 held += len(w)
-                if held > 3_000_000:
-                    yield _pack(ws, cs, ds, keys, learn, parts, hot.value)
-                    ws, cs, ds, held = [], [], [], 0
-            if ws:
-                yield _pack(ws, cs, ds, keys, learn, parts, hot.value)
+                if held > 3_000_000 or end - start > 50_000 or end == batch.num_rows:
+                    yield _pack(name, ws, cs, ds, keys[start:end], learn[start:end], parts, hot.value)
+                    ws, cs, ds, held, start = [], [], [], 0, end
+                    name += 1
 
-    return docs.select("id", "key", "learn", "text").mapInArrow(f, "part int, docs binary, learn binary, sizes binary, words binary, hot binary, word binary, context binary")
+    return docs.select("id", "key", "learn", "text").mapInArrow(f, "part int, batch long, docs binary, learn binary, sizes binary, words binary, hot binary, word binary, context binary")
 
 
-def _pack(ws: list, cs: list, ds: list, keys: np.ndarray, learn: np.ndarray, parts: int, hot: np.ndarray) -> pa.RecordBatch:
+def _pack(name: int, ws: list, cs: list, ds: list, keys: np.ndarray, learn: np.ndarray, parts: int, hot: np.ndarray) -> pa.RecordBatch:
     w, c, d = np.concatenate(ws), np.concatenate(cs), np.concatenate(ds)
     part, place = part_of(w, c, parts, hot)
     order = np.argsort(part.astype(np.uint16) if parts <= 65_536 else part, kind="stable")
     w, c, d, part, place = w[order], c[order], d[order], part[order], place[order]
     cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    rows = []
+    rows = [(name % parts, name, np.ascontiguousarray(keys).tobytes(), None, None, None, None, None, None)]
+    small = np.uint16 if len(keys) <= 65_536 else np.uint32
     for a, b in zip(cut, np.append(cut[1:], len(w))):
         words, first, at = np.unique(w[a:b] >> _WORD_BITS, return_index=True, return_inverse=True)
         docs = np.flatnonzero(np.concatenate([[True], d[a + 1 : b] != d[a : b - 1]]))
@@ -123,9 +128,10 @@ def _pack(ws: list, cs: list, ds: list, keys: np.ndarray, learn: np.ndarray, par
         low = np.ascontiguousarray(words.view(np.uint8).reshape(-1, 8)[:, :5])
         index = at.astype(np.uint16) if len(words) <= 65_536 else at.astype(np.uint32)
         sizes = np.diff(np.append(docs, b - a)).astype(np.uint32)
-        rows.append((int(part[a]), np.ascontiguousarray(keys[who]).tobytes(), np.packbits(learn[who]).tobytes(), sizes.tobytes(), low.tobytes(), place[a:b][first].astype(np.int32).tobytes(), index.tobytes(), c[a:b].astype(np.uint16).tobytes()))
+        rows.append((int(part[a]), name, who.astype(small).tobytes(), np.packbits(learn[who]).tobytes(), sizes.tobytes(), low.tobytes(), place[a:b][first].astype(np.int32).tobytes(), index.tobytes(), c[a:b].astype(np.uint16).tobytes()))
     columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(x, pa.binary()) for x in columns[1:])], ["part", "docs", "learn", "sizes", "words", "hot", "word", "context"])
+    arrays = [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(x, pa.binary()) for x in columns[2:])]
+    return pa.RecordBatch.from_arrays(arrays, ["part", "batch", "docs", "learn", "sizes", "words", "hot", "word", "context"])
 
 
 class Part:
@@ -225,15 +231,19 @@ def seat(counts: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float,
 class Sweeps:
     """The state of a part's restaurants. Pairs seen once sit at one table whatever happens; they are kept as sums."""
 
-    def __init__(self, part: int, hot: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
+    def __init__(self, part: int, hot: np.ndarray, single_words: np.ndarray, single_contexts: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
         self.part, self.hot, self.n_words = part, hot, len(hot)
-        word, context = pairs // CONTEXTS, pairs % CONTEXTS
-        one = counts == 1
-        self.single_words = np.bincount(word[one], minlength=self.n_words)
-        self.single_contexts = np.bincount(context[one], minlength=CONTEXTS)
-        self.word, self.context, self.count = word[~one], context[~one], counts[~one]
+        self.single_words, self.single_contexts = single_words, single_contexts
+        self.word, self.context, self.count = pairs // CONTEXTS, pairs % CONTEXTS, counts
         self.tables = np.ones(len(self.count), np.int64)
 
+    @classmethod
+    def of(cls, part: int, hot: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> Sweeps:
+        """From all pairs and their counts."""
+        one = counts == 1
+        words, contexts = np.bincount(pairs[one] // CONTEXTS, minlength=len(hot)), np.bincount(pairs[one] % CONTEXTS, minlength=CONTEXTS)
+        return cls(part, hot, words, contexts, pairs[~one], counts[~one])
+
     def customers(self) -> np.ndarray:
         """Of the part's words in the parent, as far as this part has them."""
         return self.single_words + np.bincount(self.word, self.tables, self.n_words).astype(np.int64)
@@ -321,37 +331,44 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]
 
 
 def _counts(packed: DataFrame) -> DataFrame:
-    """The training counts of each part."""
+    """The training counts of each part; pairs seen once, the most by far, only as sums."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _parts(batches):
-            p = Part(rows)
-            pairs, counts = p.count()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (p.hot.astype(np.int32), pairs, counts))], ["part", "hot", "pairs", "counts"])
+            rows = [r for r in rows if r["words"] is not None]
+            if rows:
+                p = Part(rows)
+                s = Sweeps.of(part, p.hot, *p.count())
+                arrays = (s.hot.astype(np.int32), s.single_words.astype(np.int32), s.single_contexts.astype(np.int32), s.word * CONTEXTS + s.context, s.count)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], COUNTED)
+
+    return packed.mapInArrow(f, "part int, hot binary, single_words binary, single_contexts binary, pairs binary, counts binary")
 
-    return packed.mapInArrow(f, "part int, hot binary, pairs binary, counts binary")
+
+COUNTED = ["part", "hot", "single_words", "single_contexts", "pairs", "counts"]
 
 
 def _open(row: dict) -> Sweeps:
-    return Sweeps(row["part"], np.frombuffer(row["hot"], np.int32).astype(np.int64), np.frombuffer(row["pairs"], np.int64), np.frombuffer(row["counts"], np.int64))
+    hot, words, contexts = (np.frombuffer(row[c], np.int32).astype(np.int64) for c in COUNTED[1:4])
+    return Sweeps(row["part"], hot, words, contexts, np.frombuffer(row["pairs"], np.int64), np.frombuffer(row["counts"], np.int64))
 
 
 def _statistics(counted: DataFrame, n_hot: int) -> np.ndarray:
-    """By context the customers, by hot word its count, and: words that aren't hot, tokens, pairs and words of that kind seen
-    once and twice."""
+    """By context the customers, by hot word its count, and: words that aren't hot, tokens, pairs seen once and twice, and
+    words with one and two pairs that aren't hot."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                hot, pairs, counts = np.frombuffer(row["hot"], np.int32), np.frombuffer(row["pairs"], np.int64), np.frombuffer(row["counts"], np.int64)
+                s = _open(row)
                 out = np.zeros(CONTEXTS + n_hot + 6, np.int64)
-                np.add.at(out, pairs % CONTEXTS, counts)
-                words = np.bincount(pairs // CONTEXTS, counts, len(hot)).astype(np.int64)
-                kinds = np.bincount(pairs // CONTEXTS, minlength=len(hot))
-                is_hot = hot >= 0
-                np.add.at(out, CONTEXTS + hot[is_hot], words[is_hot])
+                out[:CONTEXTS] = s.single_contexts + np.bincount(s.context, s.count, CONTEXTS).astype(np.int64)
+                words = s.single_words + np.bincount(s.word, s.count, s.n_words).astype(np.int64)
+                kinds = s.single_words + np.bincount(s.word, minlength=s.n_words)
+                is_hot = s.hot >= 0
+                np.add.at(out, CONTEXTS + s.hot[is_hot], words[is_hot])
                 rest = kinds[~is_hot]
-                out[-6:] = (words[~is_hot] > 0).sum(), counts.sum(), (counts == 1).sum(), (counts == 2).sum(), (rest == 1).sum(), (rest == 2).sum()
+                out[-6:] = (words[~is_hot] > 0).sum(), words.sum(), s.single_words.sum(), (s.count == 2).sum(), (rest == 1).sum(), (rest == 2).sum()
                 yield _chunks(out)
 
     return _arrays(counted.mapInArrow(f, "at int, sums binary"), CONTEXTS + n_hot + 6)
@@ -396,15 +413,21 @@ def learn(counted: DataFrame, n_hot: int, sweeps: int, seed: int, strengths: tup
 
 
 def _scores(packed: DataFrame, setup: dict, past: list[dict], burn_in: int) -> DataFrame:
-    """Of each text and part: tokens, known tokens, and the sums of the logarithms."""
+    """id, key, tokens, known tokens and the sums of the logarithms of each text."""
     sent = packed.sparkSession.sparkContext.broadcast((setup, past))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         setup, past = sent.value
         for part, rows in _parts(batches):
+            for r in rows:
+                if r["words"] is None:
+                    yield _partial(r["batch"], r["docs"], None, None)
+            rows = [r for r in rows if r["words"] is not None]
+            if not rows:
+                continue
             p = Part(rows)
             pairs, counts = p.count()
-            s = Sweeps(part, p.hot, pairs, counts)
+            s = Sweeps.of(part, p.hot, pairs, counts)
             several = np.flatnonzero(counts > 1)
             samples = []
             for n, (parent, tables) in enumerate(s.replay(setup, past)):
@@ -430,11 +453,31 @@ def _scores(packed: DataFrame, setup: dict, past: list[dict], burn_in: int) -> D
                     total += (c - setup["d1"] * t + (setup["s1"] + setup["d1"] * contexts[context]) * parent[word]) / (setup["s1"] + setup["customers"][context])
                 logs = np.log10(total / len(samples))
                 n = len(row["sizes"]) // 4
-                both = np.frombuffer(row["docs"], np.int64).reshape(-1, 2)
-                columns = [both[:, 0], both[:, 1], np.bincount(text, minlength=n), np.bincount(text, (seen[word] > 0)[at], n).astype(np.int64), np.bincount(text, base[word][at], n), np.bincount(text, logs[at], n)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "key", "n", "known", "base", "logs"])
+                known = np.bincount(text, (seen[word] > 0)[at], n)
+                sums = np.zeros(n, SUMS)
+                sums["n"], sums["known"], sums["base"], sums["logs"] = np.bincount(text, minlength=n), known, np.bincount(text, base[word][at], n), np.bincount(text, logs[at], n)
+                yield _partial(row["batch"], None, row["docs"], sums.tobytes())
+
+    def total(table: pa.Table) -> pa.Table:
+        ids = next(x for x in table.column("ids").to_pylist() if x is not None)
+        keys = np.frombuffer(ids, np.int64).reshape(-1, 2)
+        small = np.uint16 if len(keys) <= 65_536 else np.uint32
+        out = {name: np.zeros(len(keys), np.float64 if name in ("base", "logs") else np.int64) for name in SUMS.names}
+        for docs, sums in sorted((d, x) for d, x in zip(table.column("docs").to_pylist(), table.column("sums").to_pylist()) if d is not None):
+            at, sums = np.frombuffer(docs, small), np.frombuffer(sums, SUMS)
+            for name in SUMS.names:
+                out[name][at] += sums[name]
+        return pa.table({"id": keys[:, 0], "key": keys[:, 1], **out})
+
+    parts = packed.mapInArrow(f, "batch long, ids binary, docs binary, sums binary")
+    return parts.groupBy("batch").applyInArrow(total, "id long, key long, n long, known long, base double, logs double")
+
+
+SUMS = np.dtype([("n", np.uint32), ("known", np.uint32), ("base", np.float64), ("logs", np.float64)])
+
 
-    return packed.mapInArrow(f, "id long, key long, n long, known long, base double, logs double")
+def _partial(batch: int, ids: bytes | None, docs: bytes | None, sums: bytes | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), *(pa.array([x], pa.binary()) for x in (ids, docs, sums))], ["batch", "ids", "docs", "sums"])
 
 
 def model_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, sweeps: int = 5, burn_in: int = 2, seed: int = 11, strengths: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
@@ -445,7 +488,7 @@ def model_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, sweeps: int
     rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("key", F.xxhash64("doc_id", "text"))
     chars, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     guess = ((chars or 0) / 6 + n) * 5  # bytes of packed tokens
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(guess / (1 << 20))), math.ceil(guess / PART_BYTES))
+    parts = max(1, min(spark.sparkContext.defaultParallelism, math.ceil(guess / (1 << 20))), math.ceil(guess / PART_BYTES))
     hot = _hot(rows, parts)
     packed = checkpoint(_tokens(rows, parts, spark.sparkContext.broadcast(hot)).repartitionById(parts, "part").sortWithinPartitions("part"))
     counted = checkpoint(_counts(packed))
