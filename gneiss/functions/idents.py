@@ -86,10 +86,13 @@ def path_refusal(path: Column) -> Column:
     )
 
 
-@F.pandas_udf("boolean")
-def is_nfc(text: pd.Series) -> pd.Series:
+def is_nfc(text: Column) -> Column:
     """Whether a text is in composed normal form; no built-in tells."""
-    return text.map(lambda t: None if t is None else unicodedata.is_normalized("NFC", t))
+
+    def test(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.is_normalized("NFC", t))
+
+    return F.pandas_udf(test, "boolean")(text)
 
 
 WINDOWS = r"(?i)^(con|prn|aux|nul|com[0-9¹²³]|lpt[0-9¹²³])(\..*)?$"
