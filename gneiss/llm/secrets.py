@@ -114,7 +114,7 @@ def _node(op, arg) -> tuple[set[str] | None, tuple]:
                 out |= {_fold(c) for c in range(x[0], x[1] + 1)}
             else:
                 return None, ANY
-        return (out, ANY) if len(out) <= 4 else (None, ANY)
+        return (out, ANY) if len(out) <= 8 else (None, ANY)
     if op is C.SUBPATTERN:
         return _sequence(arg[3])
     if op is C.BRANCH:

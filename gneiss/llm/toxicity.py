@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import id_bucket
 
-SAMPLE_ROWS = 8_000  # labelled rows that the training may read
-SAMPLE_CHARS = 60_000_000  # and characters of their texts; texts are read whole until these are used up
+SAMPLE_ROWS = 6_000  # labelled rows that the training may read
+SAMPLE_CHARS = 40_000_000  # and characters of their texts; texts are read whole until these are used up
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -80,35 +80,41 @@ class Model:
         return {"weight": self.weight, "bias": self.bias, "known": {}}
 
 
-def train(texts: list[str], toxic: np.ndarray, steps: int = 150, rate: float = 0.15, decay: float = 3e-6, seed: int = 7) -> Model:
+def train(texts: list[str], toxic: np.ndarray, steps: int = 150, rate: float = 0.15, decay: float = 1e-5, seed: int = 7) -> Model:
     """Embeddings and softmax, trained together by full-batch Adam on the log loss."""
     n = len(texts)
     share = float(toxic.mean()) if n else 0.5
     prior = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     zero = Model(np.zeros(BUCKETS), prior if n else 0.0)
-    bags = [Counter(words(t)) for t in texts]
-    if not n or share in (0.0, 1.0) or not any(bags):
+    # A text is two short arrays, the numbers of its words and how often each occurs.
+    number: dict[str, int] = {}
+    bags: list[tuple[np.ndarray, np.ndarray]] = []
+    for t in texts:
+        bag = Counter(words(t))
+        bags.append((np.fromiter((number.setdefault(w, len(number)) for w in bag), np.int32, len(bag)), np.fromiter(bag.values(), np.int32, len(bag))))
+    if not n or share in (0.0, 1.0) or not number:
         return zero
-    seen = Counter(w for b in bags for w in b)
-    vocabulary = {w: i for i, w in enumerate(w for w, k in seen.items() if k > 1 or n < 50)}
-    grams = [subwords(w) for w in vocabulary]
+    seen = np.bincount(np.concatenate([ids for ids, _ in bags]), minlength=len(number))
+    kept = seen > 1 if n >= 50 else np.ones(len(number), bool)
+    place = np.where(kept, np.cumsum(kept) - 1, -1)
+    lengths = np.fromiter((3 * len(w) - 3 if len(w) > 3 else len(w) + 1 for w in number), np.int64, len(number))
+    grams = [np.array(subwords(w), np.int32) for w, k in zip(number, kept) if k]
     sizes = np.array([len(g) for g in grams] or [0])
-    feature = np.concatenate([np.array(g, np.int64) for g in grams]) if grams else np.zeros(0, np.int64)
-    of_word = np.repeat(np.arange(len(grams)), sizes[: len(grams)])
-    rows, cols, vals = [], [], []
-    for i, b in enumerate(bags):
-        total = 0
-        first = len(vals)
-        for w, k in b.items():
-            j = vocabulary.get(w)
-            if j is None:
-                total += k * (3 * len(w) - 3 if len(w) > 3 else len(w) + 1)
-            else:
-                total += k * sizes[j]
-                rows.append(i), cols.append(j), vals.append(float(k))
-        for j in range(first, len(vals)):
-            vals[j] /= max(1, total)
-    rows, cols, vals = np.array(rows, np.int64), np.array(cols, np.int64), np.array(vals)
+    lengths[kept] = sizes[: len(grams)]
+    feature = np.concatenate(grams) if grams else np.zeros(0, np.int32)
+    of_word = np.repeat(np.arange(len(grams), dtype=np.int32), sizes[: len(grams)])
+    number.clear()
+    rows_, cols_, vals_ = [], [], []
+    for i, (ids, counts) in enumerate(bags):
+        at = place[ids]
+        own = at >= 0
+        rows_.append(np.full(int(own.sum()), i, np.int32))
+        cols_.append(at[own].astype(np.int32))
+        vals_.append((counts[own] / max(1, int((counts * lengths[ids]).sum()))).astype(np.float32))
+    bags.clear()
+    rows, cols, vals = np.concatenate(rows_), np.concatenate(cols_), np.concatenate(vals_)
+    n_words = len(grams)
+    del rows_, cols_, vals_, grams
     rng = np.random.default_rng(seed)
     scale = 20.0  # averages are small: it only changes the units of the embeddings
     e = rng.normal(0, 0.05, (BUCKETS, DIMENSIONS))
@@ -121,12 +127,12 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 150, rate: float = 0
 
     def spread(per_doc: np.ndarray) -> np.ndarray:
         """Of a value of each text, the sum over the texts of each bucket, by its share in them."""
-        per_word = np.bincount(cols, vals * per_doc[rows], len(grams))
+        per_word = np.bincount(cols, vals * per_doc[rows], n_words)
         return np.bincount(feature, per_word[of_word], BUCKETS)
 
     def gather(per_bucket: np.ndarray) -> np.ndarray:
         """Of a value of each bucket, the average over each text."""
-        per_word = np.bincount(of_word, per_bucket[feature], len(grams))
+        per_word = np.bincount(of_word, per_bucket[feature], n_words)
         return np.bincount(rows, vals * per_word[cols], n)
 
     for t in range(1, steps + 1):
@@ -154,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, s
     table = texts.select("doc_id", F.xxhash64("doc_id").alias("h"), F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow().to_pandas()
     table = table.sort_values(["h", "doc_id", "text"], kind="stable")
     table = table[table["text"].str.len().cumsum() <= SAMPLE_CHARS] if len(table) > 1 else table
-    return train(table["text"].tolist(), (table["toxic"].to_numpy() > 0).astype(float))
+    texts, toxic = table["text"].tolist(), (table["toxic"].to_numpy() > 0).astype(float)
+    del table
+    return train(texts, toxic)
 
 
 def _scorer(docs: DataFrame, model: Model):
