@@ -99,9 +99,10 @@ def test_decisions(spark):
         ("missing", "m", 0, "a", "BF16", [2]), ("missing", "m", 1, "b", "BF16", [2]), ("unclaimed", "m", 0, "a", "F8", [2]), ("unclaimed", "m", 1, "x", "F32", [1]), ("none", "m", 0, "zzz", "F32", [1]),
         ("pair", "x/m", 0, "k", "F32", [1]), ("pair", "y/m", 0, "k", "F32", [1]), ("twice", "m", 0, "a", "BF16", [2]), ("twice", "n", 0, "a", "BF16", [2]),
     ], HEADER)
+    # Of refusals that matched as much the first layout's counts, here q's.
     got = {r.artifact: (r.layout, r.reason, r.tensor) for r in decide.stamp(headers, layouts).collect()}
     assert got == {
-        "good": ("p", None, None), "shape": (None, "shape", "c"), "dtype": (None, "dtype", "a"), "missing": (None, "missing", "c"), "unclaimed": (None, "unclaimed", "x"), "none": (None, "no-stamp", None), "pair": ("two", None, None),
+        "good": ("p", None, None), "shape": (None, "dtype", "a"), "dtype": (None, "unclaimed", "c"), "missing": (None, "missing", "c"), "unclaimed": (None, "unclaimed", "x"), "none": (None, "no-stamp", None), "pair": ("two", None, None),
         "twice": (None, "dtype", "a"),
     }
     assert {(r.artifact, r.layout) for r in decide.stamp_all(headers, layouts).collect()} == {("good", "p"), ("pair", "two")}
