@@ -509,6 +509,72 @@ def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.tree_paths(spark.createDataFrame(rows, "parent int, name string, inode int"))
 
 
+# ---- runs, records, lanes
+
+RECORDS_SQL = "SELECT source, doc_id AS ord, lang = 'de' AS hole, n_chars AS length FROM documents"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("source", F.col("doc_id").alias("ord"), (F.col("lang") == "de").alias("hole"), F.lit(None).cast("string").alias("digest"), F.col("n_chars").alias("length"))
+
+
+@query(f"""
+WITH b AS (SELECT *, lag(hole) OVER (PARTITION BY source ORDER BY ord) AS before FROM ({RECORDS_SQL})),
+w AS (SELECT source, min(CASE WHEN length <= 0 THEN 2 WHEN hole AND coalesce(before, false) THEN 3 WHEN NOT hole AND length > 20000 THEN 4 END) AS why, sum(length) AS total FROM b GROUP BY source)
+SELECT source, coalesce(['', 'zero-length', 'adjacent-holes', 'record-size'][why], CASE WHEN total <> total + length(source) % 2 THEN 'sum' END) AS reason FROM w WHERE reason IS NOT NULL
+""")
+def record_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with holes side by side or records over 20,000; sources with odd names claim a byte more than they have."""
+    r = records(spark, sf_dir)
+    sizes = r.groupBy("source").agg((F.sum("length") + F.length("source") % 2).alias("size"))
+    return store.record_refusals(r, sizes, ["source"], 20_000)
+
+
+@query(f"""
+WITH s AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY source ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ({RECORDS_SQL}))
+SELECT source, ord, least(length, 30000 - start)::BIGINT AS length, CASE WHEN NOT hole AND start + length > 30000 THEN 'inside-data' END AS reason FROM s WHERE start < 30000 AND source IN (SELECT source FROM documents GROUP BY source HAVING sum(n_chars) >= 30000)
+""")
+def truncate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run cut to 30,000 bytes, where it is longer."""
+    r = records(spark, sf_dir)
+    whole = r.join(r.groupBy("source").agg(F.sum("length").alias("total")).where("total >= 30000"), "source").drop("total")
+    return store.truncate(whole, ["source"], F.lit(30_000).cast("long")).select("source", "ord", "length", "reason")
+
+
+@query("SELECT lang, path, row_number() OVER (PARTITION BY lang ORDER BY path) - 1 AS ordinal FROM (SELECT lang, source || '/' || doc_id AS path FROM documents)")
+def path_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "documents").select("lang", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.lit("file").alias("kind"))
+    return store.ordinals(e, ["lang"]).select("lang", "path", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("SELECT source AS session, doc_id::VARCHAR AS digest, CASE WHEN doc_id % 2 = 0 AND n_chars > 3000 THEN 'too-large-for-pack' ELSE 'small-blob' END AS reason FROM documents WHERE (doc_id % 2 = 0 AND n_chars > 3000) OR (doc_id % 2 = 1 AND n_chars <= 3000)")
+def lane_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("session"), F.col("doc_id").cast("string").alias("digest"), F.col("n_chars").alias("size"), F.when(F.col("doc_id") % 2 == 0, "pack").otherwise("blob").alias("lane"))
+    return transfer.lane_refusals(d, 3000)
+
+
+@query("""
+SELECT p_brand AS artifact, p_partkey || '.qkv' AS name, g * 3 + p AS ord, (p_partkey * 1000 + (g * 4 + [0, 1, 2][p + 1]) * unit)::BIGINT AS "offset", ([1, 1, 2][p + 1] * unit)::BIGINT AS length
+FROM (SELECT p_brand, p_partkey, p_size, p_size * 1048576 AS unit FROM part WHERE p_partkey % 3 > 0), (VALUES (0), (1)) g(g), (VALUES (0), (1), (2)) p(p)
+""")
+def seam_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused projections of two groups cut at their seams; every third has rows that don't divide."""
+    n, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    rows = F.when(n % 3 == 0, size * 8 + 1).otherwise(size * 8)
+    t = table(spark, sf_dir, "part").where("p_size > 0").select(F.col("p_brand").alias("artifact"), F.concat(n.cast("string"), F.lit(".qkv")).alias("name"), F.array(rows, F.lit(4).cast("long")).alias("shape"), (n * 1000).alias("offset"), (size * 8 * (1 << 20)).alias("length"))
+    entry_ = {"pattern": "{i}.qkv", "fusion": {"axis": 0, "groups": 2, "parts": [{"role": "q", "share": 1}, {"role": "k", "share": 1}, {"role": "v", "share": 2}]}}
+    out = planning.seam_cuts(t, [entry_], ["artifact"])
+    return out.select("artifact", "name", F.col("ord").cast("long").alias("ord"), "offset", "length")
+
+
+@query("SELECT p_brand AS artifact, CASE WHEN p_partkey % 5 = 0 THEN 'new.' || p_name || p_partkey ELSE p_name || p_partkey END AS name, p_name || p_partkey AS source FROM part")
+def rekeyed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("artifact"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"), "p_partkey")
+    names = p.where("p_partkey % 5 = 0").select(F.col("name").alias("old"), F.concat(F.lit("new."), "name").alias("new"))
+    return reads.rekeyed(p, names, ["artifact"]).where("reason is null").select("artifact", "name", "source")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """What a publisher of the documents has and needs."""
     return have_need_plan(spark, "/root/testdata/sf0.001")
