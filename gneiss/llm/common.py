@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that may be broadcast after they were counted; wider rows divide it.
 BROADCAST_ROWS = 100_000
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -26,14 +28,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def session() -> SparkSession:
-    """The active session."""
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        raise RuntimeError("no active Spark session")
-    return spark
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session. Only where that is unset
     (a local run or a test) a temporary folder takes its place."""
@@ -90,10 +84,20 @@ def id_bucket(n: int = 5, doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """``df`` in at least as many partitions as the session has cores, so that Python work is shared out."""
-    cores = df.sparkSession.sparkContext.defaultParallelism if least is None else least
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def small_batches(spark: SparkSession) -> None:
+    """Rows travel to Python in batches of at most BATCH_BYTES, unless the session asks for something itself: the default
+    of 64 MB is held several times over in each task."""
+    if spark.conf.get(_BATCH) in ("67108864b", "67108864", "64MB", "64m"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def trim() -> None:
+    """Gives memory that a task is done with back to the system; workers are used again for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library, which has no such call
+        return
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,7 +120,7 @@ def raw_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return raw, at - at[0]
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about ``most`` bytes together (one text may be longer): first, end, bytes, offsets."""
     first, n = 0, len(offsets) - 1
     while first < n:
@@ -125,6 +129,12 @@ def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 21) -> Iterat
         first = end
 
 
+def texts_of(column: pa.Array, step: int = 256) -> Iterator[str | None]:
+    """The texts of a column one by one, few of them as Python strings at a time."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word in the bytes, and the first word of each text (one more than texts)."""
     n = len(data)
@@ -176,11 +186,14 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], list[pa.RecordBatch] | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], list[pa.RecordBatch] | Iterator[pa.RecordBatch]], schema, rows: int = 1_000) -> DataFrame:
+    """``mapInArrow`` with a function of at most ``rows`` rows at a time, which bounds what is held as Python objects."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from f(batch)
+            for i in range(0, batch.num_rows, rows):
+                yield from f(batch.slice(i, rows))
+        trim()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(each, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, hash_words, materialize, mix, pieces, raw_bytes, windows
+from .common import _LOWER, hash_words, materialize, mix, pieces, raw_bytes, small_batches, trim, windows
 
 WINDOW = 8
 LEAST_WORDS = 13  # words that a run must cover, or half of the item if that is less
@@ -191,6 +191,7 @@ class Benchmark:
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, item_rows: int = ITEM_ROWS) -> DataFrame:
     """A row per document and item that it holds: doc_id, item_id, words (covered), coverage (of the item), changed (whether
     slots were filled anew). ``docs`` has doc_id and text, ``benchmark`` item_id and text."""
+    small_batches(docs.sparkSession)
     items = benchmark.select("item_id", "text").where("text is not null")
     blocks = max(1, math.ceil(items.count() / item_rows))
     out = None
@@ -232,6 +233,7 @@ def _scan(docs: DataFrame, sent, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold an item of the benchmark; each row is judged by its own text."""
     items = benchmark.select("item_id", "text").where("text is not null")
+    small_batches(docs.sparkSession)
     if items.isEmpty():
         return docs
     blocks = max(1, math.ceil(items.count() / ITEM_ROWS))
@@ -249,6 +251,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFra
                     for i, *_ in sent.value.hits(*tokens(raw, to)):
                         kept[first + i] = False
                 yield batch.filter(pa.array(kept))
+            trim()
 
         docs = docs.mapInArrow(f, docs.schema)
     return docs

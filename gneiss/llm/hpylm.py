@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hash_words, id_bucket, materialize, mix, pieces, raw_bytes, word_bounds
+from .common import checkpoint, hash_words, id_bucket, materialize, mix, pieces, raw_bytes, small_batches, trim, word_bounds
 
 U = np.uint64
 CONTEXTS = 1 << 16
 CHUNK = 1 << 12
-PART_BYTES = 24 << 20  # of packed tokens a part
+PART_BYTES = 18 << 20  # of packed tokens a part
 STIRLING = 64
 END = 0x9E3779B97F4A7C15
 _WORD_BITS = U(24)  # a word is known by its 40 highest bits, and its part
@@ -98,17 +98,21 @@ def _tokens(docs: DataFrame, parts: int, hot) -> DataFrame:
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = TaskContext.get().partitionId() << 32
+        ws, cs, ds, keys, learns, held, texts = [], [], [], [], [], 0, 0
         for batch in batches:
-            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
+            key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
             learn = batch.column(2).to_numpy(zero_copy_only=False)
-            ws, cs, ds, held, start = [], [], [], 0, 0
             for first, end, w, c, cut in doc_tokens(batch.column(3)):
-                ws.append(w), cs.append(c), ds.append(np.repeat(np.arange(first - start, end - start), np.diff(cut)))
-                held += len(w)
-                if held > 3_000_000 or end - start > 50_000 or end == batch.num_rows:
-                    yield _pack(name, ws, cs, ds, keys[start:end], learn[start:end], parts, hot.value)
-                    ws, cs, ds, held, start = [], [], [], 0, end
+                ws.append(w), cs.append(c), ds.append(np.repeat(np.arange(texts, texts + end - first), np.diff(cut)))
+                keys.append(key[first:end]), learns.append(learn[first:end])
+                held, texts = held + len(w), texts + end - first
+                if held > 2_500_000 or texts > 50_000:
+                    yield _pack(name, ws, cs, ds, np.concatenate(keys), np.concatenate(learns), parts, hot.value)
+                    ws, cs, ds, keys, learns, held, texts = [], [], [], [], [], 0, 0
                     name += 1
+        if ws:
+            yield _pack(name, ws, cs, ds, np.concatenate(keys), np.concatenate(learns), parts, hot.value)
+        trim()
 
     return docs.select("id", "key", "learn", "text").mapInArrow(f, "part int, batch long, docs binary, learn binary, sizes binary, words binary, hot binary, word binary, context binary")
 
@@ -168,7 +172,7 @@ class Part:
             u, n = np.unique(pair[learn], return_counts=True)
             keys.append(u), counts.append(n)
             held += len(u)
-            if held > 4_000_000 and len(keys) > 1:
+            if held > 1_500_000 and len(keys) > 1:
                 keys, counts = ([x] for x in _merge(keys, counts))
                 held = 0
         return _merge(keys, counts) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -457,6 +461,7 @@ def _scores(packed: DataFrame, setup: dict, past: list[dict], burn_in: int) -> D
                 sums = np.zeros(n, SUMS)
                 sums["n"], sums["known"], sums["base"], sums["logs"] = np.bincount(text, minlength=n), known, np.bincount(text, base[word][at], n), np.bincount(text, logs[at], n)
                 yield _partial(row["batch"], None, row["docs"], sums.tobytes())
+        trim()
 
     def total(table: pa.Table) -> pa.Table:
         ids = next(x for x in table.column("ids").to_pylist() if x is not None)
@@ -483,6 +488,7 @@ def _partial(batch: int, ids: bytes | None, docs: bytes | None, sums: bytes | No
 def model_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, sweeps: int = 5, burn_in: int = 2, seed: int = 11, strengths: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select("doc_id", "text", (id_bucket(folds) != held_out).alias("learn"))
     # A text is known by its id and the hash of both; rows equal in these share one score.
     rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("key", F.xxhash64("doc_id", "text"))

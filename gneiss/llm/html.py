@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
+from .common import map_arrow, texts_of
 
 WIDTH = 3  # lines in a window
 SURGE = 80  # characters outside links in a window at which the text surges
@@ -190,7 +190,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
 
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [main_text(x) for x in batch.column(2).to_pylist()]
+        texts = [main_text(x) for x in texts_of(batch.column(2))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, materialize, mix, pieces, raw_bytes, small, windows, word_bounds
+from .common import hash_words, materialize, mix, pieces, raw_bytes, small, small_batches, trim, windows, word_bounds
 from .components import connected_components
 
 U = np.uint64
 _SEG, _VAL, _CLS = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
 _FULL = (1 << 64) - 1
-PART_BYTES = 24 << 20  # of packed keys that a task compares at once
-FLUSH = 1_500_000  # keys packed at once
+PART_BYTES = 16 << 20  # of packed keys that a task compares at once
+FLUSH = 800_000  # keys packed at once
 HOT_SHARE = 100_000  # classes with more than this part of all rows are hot; there are at most so many
 FEW = 1_000_000  # rows of two or three longs that may be broadcast once counted
 COMPONENT_BYTES = 48 << 20  # of sets that a verifying task holds
@@ -192,6 +192,7 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
             if held:
                 yield often(held)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls, mask=n == 0), pa.array(np.zeros(len(n), bool))], names)
+        trim()
 
     names = ["doc_id", "n_shingles", "cls", "common"]
     return docs.mapInArrow(f, "doc_id long, n_shingles long, cls long, common boolean")
@@ -222,12 +223,12 @@ def _signatures(docs: DataFrame, width: int, starts: list[int], schemes: dict[in
         often = common.value
         maybe = np.zeros(1 << 20, bool)
         maybe[(often >> U(44)).astype(np.int64)] = True
+        keys: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        table: list[tuple[int, int, int]] = []
+        held, seen = 0, set()
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            keys: list[np.ndarray] = []
-            owners: list[np.ndarray] = []
-            table: list[tuple[int, int, int]] = []
-            held, seen = 0, set()
             for i, s in doc_sets(batch.column(1), width):
                 if not len(s):
                     continue
@@ -253,8 +254,10 @@ def _signatures(docs: DataFrame, width: int, starts: list[int], schemes: dict[in
                 if held > FLUSH or len(table) > 60_000:
                     yield _pack(keys, owners, table, parts)
                     keys, owners, table, held = [], [], [], 0
-            if keys:
-                yield _pack(keys, owners, table, parts)
+                    seen.clear()
+        if keys:
+            yield _pack(keys, owners, table, parts)
+        trim()
 
     return docs.mapInArrow(f, "part int, keys binary, place binary, cls binary, n binary, sketch binary")
 
@@ -302,6 +305,8 @@ def _candidates(blobs: DataFrame, parts: int, num: int, den: int) -> DataFrame:
                 held = 0
             d += 1
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        del k, c, n, s, found
+        trim()
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return blobs.repartition(parts, "part").groupBy("part").applyInArrow(part, "a long, b long").distinct()
@@ -363,6 +368,7 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     den * |intersection| >= num * |union|."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     spark = docs.sparkSession
+    small_batches(spark)
     described = materialize(_describe(docs, width), "described")
     rows = described.where("not common").drop("common")
     members = rows.where("cls is not null and doc_id is not null")

@@ -1,7 +1,8 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A text is the bag of its words' character n-grams; each n-gram has an embedding (hashed into buckets), the text is their
-average, and a linear softmax over it gives the class. Embeddings and softmax are trained together in numpy, so that
+average, scaled up a little with its length (by n ** 0.3, since a few words among many say as much as one among few), and a
+linear softmax over it gives the class. Embeddings and softmax are trained together in numpy, so that
 misspellings never seen share the vectors of the n-grams they keep. Training is on a bounded sample of labelled rows, those
 with the least hash of the id, so that each run learns the same; labels are never inputs of a score.
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -26,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket
+from .common import id_bucket, small_batches, texts_of, trim
 
 SAMPLE_ROWS = 6_000  # labelled rows that the training may read
 SAMPLE_CHARS = 40_000_000  # and characters of their texts; texts are read whole until these are used up
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 _WORDS = re.compile(r"[^\W\d_]+")
-CACHE = 400_000
+CACHE = 120_000
+LENGTH = 0.7  # the sum of a text's n of n-grams is divided by this power of n
+_KNOWN: list = [None, {}]
 
 
 def subwords(word: str, low: int = 3, high: int = 5, buckets: int = BUCKETS) -> list[int]:
@@ -58,27 +61,29 @@ class Model:
 
     weight: np.ndarray
     bias: float
-    known: dict[str, complex] = field(default_factory=dict, repr=False, compare=False)
 
     def of_word(self, word: str) -> complex:
         """Sum over the word's n-grams, and their number as imaginary part."""
-        if len(self.known) > CACHE:
-            self.known.clear()
         s = subwords(word)
-        out = self.known[word] = complex(float(self.weight[s].sum()), len(s))
-        return out
+        return complex(float(self.weight[s].sum()), len(s))
+
+    def known(self) -> dict[str, complex]:
+        """Words of which this model's sums are remembered. A process remembers for one model at a time, as workers outlive
+        models."""
+        if _KNOWN[0] is not self.weight or len(_KNOWN[1]) > CACHE:
+            _KNOWN[:] = [self.weight, {}]
+        return _KNOWN[1]
 
     def score(self, text: str | None) -> float:
-        total, known = 0j, self.known
+        total, known = 0j, self.known()
         for w, n in Counter(words(text)).items():
             x = known.get(w)
-            total += n * (self.of_word(w) if x is None else x)
-        logit = self.bias + (total.real / total.imag if total.imag else 0.0)
+            if x is None:
+                x = known[w] = self.of_word(w)
+            total += n * x
+        logit = self.bias + (total.real / total.imag**LENGTH if total.imag else 0.0)
         return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
-    def __getstate__(self) -> dict:
-        return {"weight": self.weight, "bias": self.bias, "known": {}}
-
 
 def train(texts: list[str], toxic: np.ndarray, steps: int = 150, rate: float = 0.15, decay: float = 1e-5, seed: int = 7) -> Model:
     """Embeddings and softmax, trained together by full-batch Adam on the log loss."""
@@ -110,13 +115,13 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 150, rate: float = 0
         own = at >= 0
         rows_.append(np.full(int(own.sum()), i, np.int32))
         cols_.append(at[own].astype(np.int32))
-        vals_.append((counts[own] / max(1, int((counts * lengths[ids]).sum()))).astype(np.float32))
+        vals_.append((counts[own] / max(1, int((counts * lengths[ids]).sum())) ** LENGTH).astype(np.float32))
     bags.clear()
     rows, cols, vals = np.concatenate(rows_), np.concatenate(cols_), np.concatenate(vals_)
     n_words = len(grams)
     del rows_, cols_, vals_, grams
     rng = np.random.default_rng(seed)
-    scale = 20.0  # averages are small: it only changes the units of the embeddings
+    scale = 1.5  # averages are small: it only changes the units of the embeddings
     e = rng.normal(0, 0.05, (BUCKETS, DIMENSIONS))
     w = rng.normal(0, 0.5, (DIMENSIONS, 2))
     b = np.array([0.0, prior])
@@ -166,6 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, s
 
 
 def _scorer(docs: DataFrame, model: Model):
+    small_batches(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
@@ -175,8 +181,9 @@ def score(docs: DataFrame, model: Model, folds: int = 5, held_out: int = 0) -> D
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.array([sent.value.score(t) for t in batch.column(2).to_pylist()], np.float64)
+            s = np.array([sent.value.score(t) for t in texts_of(batch.column(2))], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        trim()
 
     rows = docs.select("doc_id", (id_bucket(folds) == held_out).alias("held_out"), "text")
     return rows.mapInArrow(f, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
@@ -188,7 +195,8 @@ def clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([sent.value.score(t) < most for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([sent.value.score(t) < most for t in texts_of(batch.column(at))], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(f, docs.schema)
 
