@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, small_batches, texts_of
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -47,9 +47,10 @@ def count_tokens(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path).encode_ordinary
         for batch in batches:
-            n = np.array([len(encode(t)) if t else 0 for t in batch.column(3).to_pylist()], np.int64)
+            n = np.array([len(encode(t)) if t else 0 for t in texts_of(batch.column(3))], np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n)], ["doc_id", "source", "lang", "tokens"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), "text").mapInArrow(f, f"doc_id {kind}, source string, lang string, tokens long")
 
@@ -98,12 +99,24 @@ class Rollup:
         self._fs.delete(self._path(aside), True)
         return self._fs.createNewFile(self._path(f"{self.path}/done/{self._name(batch)}"))
 
+    def _folded(self) -> int:
+        """The newest fold; 0 for none."""
+        if not self._fs.exists(self._path(f"{self.path}/folded")):
+            return 0
+        return max((int(s.getPath().getName()) for s in self._fs.listStatus(self._path(f"{self.path}/folded"))), default=0)
+
+    def _inside(self, fold: int) -> set[str]:
+        """The batches that a fold holds."""
+        return {r[0] for r in self.spark.read.parquet(f"{self.path}/folded/{fold}/names").collect()} if fold else set()
+
     def _rows(self) -> DataFrame:
-        """Deltas of the committed batches; one that was moved but not marked yet waits for its job to be run again."""
-        done = [f"{self.path}/data/{self._name(b)}" for b in sorted(self.names()) if self._fs.exists(self._path(f"{self.path}/data/{self._name(b)}"))]
+        """Deltas of the committed batches: the newest fold, and the batches that it doesn't hold. A batch that was moved but
+        not marked yet waits for its job to be run again."""
+        fold = self._folded()
+        done = [f"{self.path}/data/{self._name(b)}" for b in sorted(self.names() - self._inside(fold))]
         parts = [self.spark.read.schema(SCHEMA).parquet(*done)] if done else []
-        if self._fs.exists(self._path(f"{self.path}/folded")):
-            parts.append(self.spark.read.schema(SCHEMA).parquet(f"{self.path}/folded"))
+        if fold:
+            parts.append(self.spark.read.schema(SCHEMA).parquet(f"{self.path}/folded/{fold}/totals"))
         out = parts[0] if parts else self.spark.createDataFrame([], SCHEMA)
         return out.unionByName(parts[1]) if len(parts) == 2 else out
 
@@ -113,14 +126,18 @@ class Rollup:
         return out.where("docs <> 0 or tokens <> 0")
 
     def compact(self) -> None:
-        """Folds all committed batches into one; their names stay marked. Not to be run beside commits."""
-        folded = f"{self.path}/aside/{uuid.uuid4().hex}"
-        done = [self._path(f"{self.path}/data/{self._name(b)}") for b in self.names()]
-        self.totals().select(F.lit(None).cast("string").alias("batch"), *KEYS, "docs", "tokens").write.parquet(folded)
-        self._fs.delete(self._path(f"{self.path}/folded"), True)
-        self._fs.rename(self._path(folded), self._path(f"{self.path}/folded"))
-        for d in done:
-            self._fs.delete(d, True)
+        """Folds all committed batches into one. The fold is moved into place with the names of its batches, so whatever
+        fails, each batch counts once; only then the batches' files go. Not to be run beside commits."""
+        names, last = self.names(), self._folded()
+        aside = f"{self.path}/aside/{uuid.uuid4().hex}"
+        self.totals().select(F.lit(None).cast("string").alias("batch"), *KEYS, "docs", "tokens").write.parquet(f"{aside}/totals")
+        self.spark.createDataFrame([(n,) for n in sorted(names)], "name string").coalesce(1).write.parquet(f"{aside}/names")
+        self._fs.mkdirs(self._path(f"{self.path}/folded"))
+        self._fs.rename(self._path(aside), self._path(f"{self.path}/folded/{last + 1}"))
+        for n in names:
+            self._fs.delete(self._path(f"{self.path}/data/{self._name(n)}"), True)
+        if last:
+            self._fs.delete(self._path(f"{self.path}/folded/{last}"), True)
 
 
 def op7_tokens(spark, sf_dir: str) -> DataFrame:

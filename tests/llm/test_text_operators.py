@@ -263,6 +263,9 @@ def test_rollup_counts_once_and_by_sign(spark, tmp_path):
     r.compact()
     assert [tuple(x) for x in r.totals().collect()] == want and not r.commit("two", first)
     assert r.names() == {"one", "two", "none"}
+    assert r.commit("four", first)
+    r.compact()
+    assert sorted((x.source or "", x.docs, x.tokens) for x in r.totals().collect()) == [("", 1, 7), ("a", 3, 27)]
 
 
 def test_token_counts_of_whole_texts(spark):
