@@ -2,9 +2,10 @@
 
 Texts are cut to words (letters and digits, lower case); numbers, units after numbers and names (capitalised inside a
 sentence) become typed placeholders. Windows of words, literal and with placeholders, are hash-joined with those of the
-benchmark. A run of matching windows along one alignment is a hit if it is long enough and its slots are consistent: each
-value of the item stands for one value of the text, and the other way round, so a question with other numbers and names
-is caught and a chance likeness of templates isn't. Benchmarks go out in blocks of bounded size, to the documents.
+benchmark. A run of matching windows along one alignment is a hit if it is long enough. Literal windows count as they are,
+those with placeholders only if their slots are consistent: each value of the item stands for one value of the text, and
+the other way round, so a question with other numbers and names is caught and a chance likeness of templates isn't.
+Benchmarks go out in blocks of bounded size, to the documents.
 
 Cases: null and empty texts, and items without words, match nothing; an item shorter than a window must occur whole; null ids
 are carried as they are; repeated items and documents match each for itself; texts are read whole; empty tables give an empty
@@ -109,6 +110,21 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h, template, number | unit | name, of
 
 
+def _cover(windows: np.ndarray) -> np.ndarray:
+    """Places in the item of the words that windows cover, ascending."""
+    return np.unique(np.concatenate([np.arange(p, p + s) for p, s in windows[:, 3:5].tolist()])) if len(windows) else np.zeros(0, np.int64)
+
+
+def _clashes(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """Of pairs of values, whether one of the two is also in another pair."""
+    pairs, at = np.unique(np.stack([mine, theirs], 1), axis=0, return_inverse=True)
+    clash = np.zeros(len(pairs), bool)
+    for side in (0, 1):
+        _, k, n = np.unique(pairs[:, side], return_inverse=True, return_counts=True)
+        clash |= n[k] > 1
+    return clash[at.ravel()]
+
+
 class Benchmark:
     """The windows of a block of items, sorted by hash."""
 
@@ -143,6 +159,17 @@ class Benchmark:
         self.filter[(self.hash >> U(42)).astype(np.int64)] = True
         self.short = sorted({int(n) for n in self.words if 0 < n < width})
 
+    def _agreeing(self, run: np.ndarray, covered: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Of the item's words that a run covers, those in literal windows or in windows whose slots are consistent."""
+        item, shift = int(run[0, 1]), int(run[0, 2])
+        slots = covered[self.slot[covered + self.of[item]]]
+        bad = slots[_clashes(self.h[slots + self.of[item]], h[slots + shift])]
+        if not len(bad):
+            return covered
+        at = run[:, 3]
+        clear = np.searchsorted(bad, at) == np.searchsorted(bad, at + run[:, 4])
+        return _cover(run[clear | (run[:, 5] == 0)])
+
     def hits(self, h: np.ndarray, t: np.ndarray, slot: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int, int, int, bool]]:
         """(text, item, words covered, words of the item, whether slots differ) of a run of texts."""
         found = []
@@ -160,7 +187,7 @@ class Benchmark:
                 k = np.repeat(left, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 text = np.searchsorted(of, q, "right") - 1
                 whole = (q + size <= of[text + 1]) & (np.minimum(self.words[self.item[k]], self.width) == size)
-                found.append(np.stack([text, self.item[k], q - self.at[k], self.at[k], np.full(len(q), size)], 1)[whole])
+                found.append(np.stack([text, self.item[k], q - self.at[k], self.at[k], np.full(len(q), size), np.full(len(q), int(salt))], 1)[whole])
         if not found:
             return
         rows = np.concatenate(found)
@@ -169,18 +196,15 @@ class Benchmark:
         best: dict[tuple[int, int], tuple[int, bool]] = {}
         for a, b in zip(cut, np.append(cut[1:], len(rows))):
             text, item, shift = (int(x) for x in rows[a, :3])
-            covered = np.unique(np.concatenate([np.arange(p, p + s) for p, s in rows[a:b, 3:].tolist()]))
-            n = int(self.words[item])
-            if len(covered) < min(LEAST_WORDS, max(1, math.ceil(n / 2))):
+            run, n = rows[a:b], int(self.words[item])
+            least = min(LEAST_WORDS, max(1, math.ceil(n / 2)))
+            covered = _cover(run)
+            if len(covered) < least:
                 continue
-            i, j = covered + self.of[item], covered + shift
-            mine, theirs = self.h[i], h[j]
-            differ = mine != theirs
-            # Consistent: one value for one value, both ways.
-            pairs = np.unique(np.stack([mine[self.slot[i]], theirs[self.slot[i]]], 1), axis=0)
-            if len(np.unique(pairs[:, 0])) != len(pairs) or len(np.unique(pairs[:, 1])) != len(pairs):
-                if differ.any():
-                    continue
+            covered = self._agreeing(run, covered, h)
+            if len(covered) < least:
+                continue
+            differ = self.h[covered + self.of[item]] != h[covered + shift]
             key = (text, item)
             if key not in best or best[key][0] < len(covered):
                 best[key] = (len(covered), bool(differ.any()))

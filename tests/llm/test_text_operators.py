@@ -219,6 +219,21 @@ def test_templates(spark, text, hit, changed):
     assert bool(got) == hit and (changed is None or got[0][4] == changed)
 
 
+def hits_of(item, text):
+    data, at = raw_bytes(pa.array([text], pa.string()))
+    return list(decontam.Benchmark([5], pa.array([item]), 8).hits(*decontam.tokens(data, at)))
+
+
+@pytest.mark.parametrize("value, other", [("5", "6"), ("Anna", "Carl")])
+def test_literal_copy_counts_despite_inconsistent_slots(value, other):
+    words = [f"w{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}" for k in range(60)]
+    words[10] = words[30] = value
+    copy = words[5:45]
+    assert hits_of(" ".join(words), " ".join(copy))[0][4] is False
+    copy[25] = other
+    assert [(t, i) for t, i, n, *_ in hits_of(" ".join(words), " ".join(copy)) if n >= 25] == [(0, 0)]
+
+
 def test_decontamination_matches_brute_force(spark):
     d = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
