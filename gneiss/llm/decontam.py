@@ -1,10 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts are cut to words (letters and digits, lower case); numbers, units after numbers and names (capitalised inside a
-sentence) become typed placeholders. Windows of words, literal and with placeholders, are hash-joined with those of the
+sentence) become typed placeholders; a second template takes every capitalised word for a name, as names also begin sentences.
+Windows of words, literal and with the placeholders of either template, are hash-joined with those of the
 benchmark. A run of matching windows along one alignment is a hit if it is long enough. Literal windows count as they are,
-those with placeholders only if their slots are consistent: each value of the item stands for one value of the text, and
-the other way round, so a question with other numbers and names is caught and a chance likeness of templates isn't.
+those with placeholders only if their slots are consistent: each name (and unit) of the item stands for one of the text,
+and the other way round, so a question with other numbers and names is caught and a chance likeness of templates isn't.
+Numbers may become equal or differ anew where the words outside slots alone make the run long enough; in a shorter run they
+have to be consistent too.
 Benchmarks go out in blocks of bounded size, to the documents.
 
 Cases: null and empty texts, and items without words, match nothing; an item shorter than a window must occur whole; null ids
@@ -50,11 +53,12 @@ _UNIT_HASHES = _unit_hashes()
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a run of texts: each word's hash, its hash or placeholder, whether it is a placeholder, and each text's first word."""
+    """Of a run of texts: each word's hash, its hash or placeholder, the same with all capitalised words as names, and each
+    text's first word."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.uint64)
-        return z, z, np.zeros(0, bool), np.zeros(len(offsets), np.int64)
+        return z, z, z, np.zeros(len(offsets), np.int64)
     inside = _ALNUM[data]
     marks = np.flatnonzero(data[:-2] == 0xE2) if n > 2 else np.zeros(0, np.int64)
     marks = marks[data[marks + 1] == 0x80]  # general punctuation is no letter
@@ -76,7 +80,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     of = np.searchsorted(starts, offsets)
     if not len(starts):
         z = np.zeros(0, np.uint64)
-        return z, z, np.zeros(0, bool), of
+        return z, z, z, of
     low = data
     accent = np.flatnonzero(data[:-1] == 0xC3) + 1
     accent = accent[(data[accent] >= 0x80) & (data[accent] <= 0x9E) & (data[accent] != 0x97)]
@@ -105,9 +109,11 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     template = h.copy()
     template[number] = NUMBER
     template[unit] = UNIT
-    name = capital & ~initial & ~number & ~unit
-    template[name] = NAME
-    return h, template, number | unit | name, of
+    name = capital & ~number & ~unit
+    wide = template.copy()
+    wide[name] = NAME
+    template[name & ~initial] = NAME
+    return h, template, wide, of
 
 
 def _cover(windows: np.ndarray) -> np.ndarray:
@@ -131,16 +137,16 @@ class Benchmark:
     def __init__(self, ids: list, column: pa.Array, width: int):
         self.ids, self.width = ids, width
         data, offsets = raw_bytes(column)
-        self.h, self.t, self.slot, self.of = tokens(data, offsets)
+        self.h, self.t, self.wide, self.of = tokens(data, offsets)
         self.words = np.diff(self.of)
         hashes, items, at = [], [], []
         for i, n in enumerate(self.words.tolist()):
             a = self.of[i]
-            for stream, salt in ((self.h, U(0)), (self.t, U(1))):
+            for stream, salt in ((self.h, U(0)), (self.t, U(1)), (self.wide, U(2))):
                 w = windows(stream[a : a + n], min(n, width)) if n else np.zeros(0, np.uint64)
                 w = mix(w ^ (U(min(n, width)) << U(8)) ^ salt)
                 if salt:  # a window of placeholders alone says nothing
-                    plain = np.concatenate([[0], np.cumsum(~self.slot[a : a + n])])
+                    plain = np.concatenate([[0], np.cumsum(stream[a : a + n] == self.h[a : a + n])])
                     size = min(n, width)
                     good = (plain[size:] - plain[:-size]) * 2 >= size if n else np.zeros(0, bool)
                     changed = (plain[size:] - plain[:-size]) < size if n else np.zeros(0, bool)
@@ -159,22 +165,32 @@ class Benchmark:
         self.filter[(self.hash >> U(42)).astype(np.int64)] = True
         self.short = sorted({int(n) for n in self.words if 0 < n < width})
 
-    def _agreeing(self, run: np.ndarray, covered: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Of the item's words that a run covers, those in literal windows or in windows whose slots are consistent."""
+    def _agreeing(self, run: np.ndarray, template: np.ndarray, least: int, h: np.ndarray) -> np.ndarray:
+        """Of the item's words that a run covers, those in literal windows or in windows whose slots, by this template, are
+        consistent."""
         item, shift = int(run[0, 1]), int(run[0, 2])
-        slots = covered[self.slot[covered + self.of[item]]]
-        bad = slots[_clashes(self.h[slots + self.of[item]], h[slots + shift])]
-        if not len(bad):
-            return covered
-        at = run[:, 3]
-        clear = np.searchsorted(bad, at) == np.searchsorted(bad, at + run[:, 4])
-        return _cover(run[clear | (run[:, 5] == 0)])
-
-    def hits(self, h: np.ndarray, t: np.ndarray, slot: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int, int, int, bool]]:
+        covered, at, literal = _cover(run), run[:, 3], run[:, 5] == 0
+        kinds = template[self.of[item] : self.of[item] + self.words[item]]
+        plain = kinds == self.h[self.of[item] : self.of[item] + self.words[item]]
+
+        def without(slots: np.ndarray, run_covers: np.ndarray) -> np.ndarray:
+            bad = slots[_clashes(self.h[slots + self.of[item]], h[slots + shift])]
+            if not len(bad):
+                return run_covers
+            clear = np.searchsorted(bad, at) == np.searchsorted(bad, at + run[:, 4])
+            return np.intersect1d(run_covers, _cover(run[clear | literal]), assume_unique=True)
+
+        number = kinds[covered] == NUMBER
+        kept = without(covered[~plain[covered] & ~number], covered)
+        if plain[kept].sum() >= least:
+            return kept
+        return without(covered[number], kept)
+
+    def hits(self, h: np.ndarray, t: np.ndarray, wide: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int, int, int, bool]]:
         """(text, item, words covered, words of the item, whether slots differ) of a run of texts."""
         found = []
         for size in (*self.short, self.width):
-            for stream, salt in ((h, U(0)), (t, U(1))):
+            for stream, salt in ((h, U(0)), (t, U(1)), (wide, U(2))):
                 w = mix(windows(stream, size) ^ (U(size) << U(8)) ^ salt)
                 q = np.flatnonzero(self.filter[(w >> U(42)).astype(np.int64)])
                 if not len(q):
@@ -198,10 +214,10 @@ class Benchmark:
             text, item, shift = (int(x) for x in rows[a, :3])
             run, n = rows[a:b], int(self.words[item])
             least = min(LEAST_WORDS, max(1, math.ceil(n / 2)))
-            covered = _cover(run)
-            if len(covered) < least:
+            if len(_cover(run)) < least:
                 continue
-            covered = self._agreeing(run, covered, h)
+            strict = run[run[:, 5] < 2]  # names that begin sentences may clash where the same words match literally
+            covered = max((self._agreeing(w, template, least, h) for w, template in ((strict, self.t), (run, self.wide)) if len(w)), key=len)
             if len(covered) < least:
                 continue
             differ = self.h[covered + self.of[item]] != h[covered + shift]
