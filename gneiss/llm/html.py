@@ -3,8 +3,8 @@
 Markup is stripped to one line a block element, with menus, headers, footers, sidebars, notices, adverts, forms, comments,
 scripts and styles counting as empty lines. Over a sliding window of lines the text outside links is summed; where the sum
 surges the main text may begin, where it dives it may end. The stretch between a surge and its dive with the most text is
-kept, and grows over the lines that share its container (the page's article or main element, where it has one), so that a
-short headline or last line stays.
+kept. If an article or main element holds most of it, all of this element is taken; otherwise the stretch grows over the
+lines that share its container. So a short headline or last line stays.
 
 Cases: null and empty html, and pages without text, give an empty text; html is read whole, also when it is cut off or its
 tags aren't closed; character references are decoded once; repeated rows give repeated results; an empty table gives an
@@ -168,11 +168,10 @@ def main_text(page: str | None) -> str:
         return "\n".join(t for t, _, around in kept if around[0] == root)
     start, end = -best[1], best[2]
     roots: dict[int, int] = {}
-    for i in range(len(found)):
-        if not found[i][3] and found[i][2][0]:
-            roots[found[i][2][0]] = roots.get(found[i][2][0], 0) + weight[i]
-    if roots:  # the page names its article: all of the one with the most text
-        root = max(roots, key=roots.get)
+    for i in range(start, end):
+        roots[found[i][2][0]] = roots.get(found[i][2][0], 0) + weight[i]
+    root = max(roots, key=roots.get)
+    if root and 2 * roots[root] > best[0]:  # an article holds the stretch, and bounds it
         return "\n".join(t for t, _, around in kept if around[0] == root)
     # Otherwise the stretch grows over its own container.
     depth = max(range(start, end), key=lambda i: weight[i])

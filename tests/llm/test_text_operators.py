@@ -144,6 +144,15 @@ def test_main_text(page, want):
     assert pages_.main_text(page) == want
 
 
+def test_article_bounds_only_its_own_stretch():
+    card = f"<article><h2>More</h2><p>{LONG}</p></article>"
+    main = "".join(f"<p>Part {k}. {LONG}</p>" for k in range(3))
+    text = "\n".join(f"Part {k}. {LONG.strip()}" for k in range(3))
+    page = f"<body><div id=content><h1>Title</h1>{main}</div><nav>menu</nav>{card}<nav>menu</nav>{card}</body>"
+    assert pages_.main_text(page) == f"Title\n{text}"
+    assert pages_.main_text(f"<body><div>{LONG}</div><nav>menu</nav><article><h1>Title</h1>{main}</article></body>") == f"Title\n{text}"
+
+
 def test_extract_counts_code_points_of_every_row(spark):
     rows = [(1, "u", f"<article><p>é {LONG}</p></article>"), (1, "u", None), (None, None, "<p>" + "x " * 50_000)]
     got = pages_.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
