@@ -10,7 +10,8 @@ Since both maps are linear, a word's n-grams contribute a fixed sum to the logit
 
 Cases: null and empty texts score the model's prior; texts are scored whole; a document without label is only scored; of
 repeated labels of one id the highest counts; null labels and labels of null ids aren't learnt; without labels of both
-classes the score is the share of toxic ones (0.5 without any); an empty table gives an empty result; other columns are
+classes the score is the share of toxic ones (0.5 without any), and ``clean`` keeps all rows, as nothing was learnt; a
+labelled text that alone exceeds what the sample may hold isn't learnt, others are; an empty table gives an empty result; other columns are
 ignored (``clean`` keeps those of the documents).
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import id_bucket, small_batches, texts_of, trim
 
 SAMPLE_ROWS = 6_000  # labelled rows that the training may read
-SAMPLE_CHARS = 40_000_000  # and characters of their texts; texts are read whole until these are used up
+SAMPLE_CHARS = 40_000_000  # and characters of their texts; texts are read whole, and those left out that exceed what is left of these
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -57,10 +58,12 @@ def words(text: str | None) -> list[str]:
 
 @dataclass
 class Model:
-    """What a bucket adds to the logit of the toxic class, and the logit's constant."""
+    """What a bucket adds to the logit of the toxic class, the logit's constant, and whether labels of both classes were
+    learnt."""
 
     weight: np.ndarray
     bias: float
+    learnt: bool = True
 
     def of_word(self, word: str) -> complex:
         """Sum over the word's n-grams, and their number as imaginary part."""
@@ -90,7 +93,7 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 150, rate: float = 0
     n = len(texts)
     share = float(toxic.mean()) if n else 0.5
     prior = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    zero = Model(np.zeros(BUCKETS), prior if n else 0.0)
+    zero = Model(np.zeros(BUCKETS), prior if n else 0.0, False)
     # A text is two short arrays, the numbers of its words and how often each occurs.
     number: dict[str, int] = {}
     bags: list[tuple[np.ndarray, np.ndarray]] = []
@@ -156,6 +159,15 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 150, rate: float = 0
     return Model(scale * (e @ (w[:, 1] - w[:, 0])), float(b[1] - b[0]))
 
 
+def _fitting(sizes: list[int], room: int) -> np.ndarray:
+    """Which texts of these sizes fit one after another; one that exceeds what is left takes nothing from the next."""
+    kept = np.zeros(len(sizes), bool)
+    for i, n in enumerate(sizes):
+        if n <= room:
+            kept[i], room = True, room - n
+    return kept
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the labelled documents whose id isn't held out; at most ``sample_rows`` of them, by hash of the id."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -164,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, s
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
     table = texts.select("doc_id", F.xxhash64("doc_id").alias("h"), F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow().to_pandas()
     table = table.sort_values(["h", "doc_id", "text"], kind="stable")
-    table = table[table["text"].str.len().cumsum() <= SAMPLE_CHARS] if len(table) > 1 else table
+    table = table[_fitting(table["text"].str.len().tolist(), SAMPLE_CHARS)] if len(table) > 1 else table
     texts, toxic = table["text"].tolist(), (table["toxic"].to_numpy() > 0).astype(float)
     del table
     return train(texts, toxic)
@@ -190,7 +202,9 @@ def score(docs: DataFrame, model: Model, folds: int = 5, held_out: int = 0) -> D
 
 
 def clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``most`` or more."""
+    """``docs`` without the rows that score ``most`` or more; all of them, if nothing was learnt."""
+    if not model.learnt:
+        return docs
     sent, at = _scorer(docs, model), docs.columns.index("text")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -199,6 +199,24 @@ def test_toxicity_without_usable_labels(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, odd)).collect()} == {0.5}
 
 
+def test_clean_keeps_all_if_nothing_was_learnt(spark):
+    docs = docs_of(spark, [(1, "a b", "s"), (2, None, "s"), (3, "c", "s")])
+    for rows in ([], [(i, 1, 1) for i in (1, 2, 3)]):
+        model = toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
+        assert toxicity.clean(docs, model).count() == 3
+
+
+def test_a_long_text_leaves_the_others_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 2_000)
+    rows = [(i, "wretched fool" if i % 2 else "green river", "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(41)], "doc_id long, quality int, toxic int")
+    first = spark.sql("select id from range(41) order by xxhash64(id)").toPandas()["id"].tolist()
+    long_ = next(i for i in first if crc32(str(i).encode()) % 5)  # the first of the sample
+    docs = docs_of(spark, [(i, "x " * 2_000 if i == long_ else t, s) for i, t, s in rows] + [(40, "x " * 2_000, "s")])
+    model = toxicity.fit(docs, labels)
+    assert model.score("wretched fool") > 0.5 > model.score("green river")
+
+
 def test_toxicity_on_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     got = toxicity.op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").toPandas()
