@@ -102,23 +102,16 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 150, rate: float = 0
         bags.append((np.fromiter((number.setdefault(w, len(number)) for w in bag), np.int32, len(bag)), np.fromiter(bag.values(), np.int32, len(bag))))
     if not n or share in (0.0, 1.0) or not number:
         return zero
-    seen = np.bincount(np.concatenate([ids for ids, _ in bags]), minlength=len(number))
-    kept = seen > 1 if n >= 50 else np.ones(len(number), bool)
-    place = np.where(kept, np.cumsum(kept) - 1, -1)
-    lengths = np.fromiter((3 * len(w) - 3 if len(w) > 3 else len(w) + 1 for w in number), np.int64, len(number))
-    grams = [np.array(subwords(w), np.int32) for w, k in zip(number, kept) if k]
-    sizes = np.array([len(g) for g in grams] or [0])
-    lengths[kept] = sizes[: len(grams)]
-    feature = np.concatenate(grams) if grams else np.zeros(0, np.int32)
-    of_word = np.repeat(np.arange(len(grams), dtype=np.int32), sizes[: len(grams)])
+    grams = [np.array(subwords(w), np.int32) for w in number]
+    sizes = np.array([len(g) for g in grams])
+    feature = np.concatenate(grams)
+    of_word = np.repeat(np.arange(len(grams), dtype=np.int32), sizes)
     number.clear()
     rows_, cols_, vals_ = [], [], []
     for i, (ids, counts) in enumerate(bags):
-        at = place[ids]
-        own = at >= 0
-        rows_.append(np.full(int(own.sum()), i, np.int32))
-        cols_.append(at[own].astype(np.int32))
-        vals_.append((counts[own] / max(1, int((counts * lengths[ids]).sum())) ** LENGTH).astype(np.float32))
+        rows_.append(np.full(len(ids), i, np.int32))
+        cols_.append(ids)
+        vals_.append((counts / max(1, int((counts * sizes[ids]).sum())) ** LENGTH).astype(np.float32))
     bags.clear()
     rows, cols, vals = np.concatenate(rows_), np.concatenate(cols_), np.concatenate(vals_)
     n_words = len(grams)

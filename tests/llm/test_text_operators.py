@@ -217,6 +217,14 @@ def test_a_long_text_leaves_the_others_in_the_sample(spark, monkeypatch):
     assert model.score("wretched fool") > 0.5 > model.score("green river")
 
 
+@pytest.mark.parametrize("n", [40, 80])
+def test_words_of_one_text_teach_their_ngrams(n):
+    end = lambda i: "".join("abcdefghij"[int(x)] for x in f"{i:02}")
+    texts = [f"{'wretched' if i % 2 else 'peaceful'}{end(i)}" for i in range(n)]
+    model = toxicity.train(texts, np.arange(n) % 2.0)
+    assert model.score("wretchedzz") > 0.9 and model.score("peacefulzz") < 0.1
+
+
 def test_toxicity_on_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     got = toxicity.op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").toPandas()
