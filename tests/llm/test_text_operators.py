@@ -138,6 +138,8 @@ LONG = "Some sentence of the article that goes on for a while, with words. " * 3
         (f"<nav><a href=x>Home</a></nav><article><h1>Title</h1><p>{LONG}<p>End.</article><footer>f</footer>", f"Title\n{LONG.strip()}\nEnd."),
         (f"<body><div class='header'>Site</div><div class=content><h2>T</h2><p>{LONG}</p><div class=sidebar>s</div><p>{LONG}</p><p>E.</p></div><div id=comments><p>{LONG * 4}</p></div></body>", f"T\n{LONG.strip()}\n{LONG.strip()}\nE."),
         (f"<article><script>var a='</p>';</script><p>{LONG}</p><form><p>Name</p></form><aside>x</aside><p>a &amp;amp; b", f"{LONG.strip()}\na &amp; b"),
+        (f"<article><p>{LONG}</p><div class='related-work'>Smith did it.</div><div class=toc>One. Two.</div><p>So <math><mi>x</mi></math> is.</p><div class=ad>Buy</div><p>End</p></article>", f"{LONG.strip()}\nSmith did it.\nOne. Two.\nSo x is.\nEnd"),
+        ("<p><a href=x>One</a></p><p><a href=y>Two</a></p>", "One\nTwo"),
     ],
 )
 def test_main_text(page, want):
@@ -160,11 +162,37 @@ def test_extract_counts_code_points_of_every_row(spark):
     assert pages_.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def planted(page):
+    """The article of a given page, cut out by its tags."""
+    inside = re.sub(r"</?(b|br)>", " ", page[page.index("<article>") + 9 : page.index("</article>")])
+    blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inside))
+    return "\n".join(b for b in blocks if b)
+
+
 def test_main_text_of_the_given_pages(spark):
-    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
-        inside = re.sub(r"</?(b|br)>", " ", r.html[r.html.index("<article>") + 9 : r.html.index("</article>")])
-        blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inside))
-        assert pages_.main_text(r.html) == "\n".join(b for b in blocks if b)
+    """As they are, with a division for the article, and with divisions for all that says what an element is."""
+    given = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    divided = [p.replace("<article", "<div").replace("</article", "</div") for p in given]
+    bare = [re.sub("<(/?)(article|nav|footer)", r"<\1div", p).replace(' class="ad"', "") for p in given]
+    want = list(map(planted, given))
+    assert list(map(pages_.main_text, given)) == want and list(map(pages_.main_text, divided)) == want
+    right = lambda width, surge: np.mean([pages_.main_text(p, width, surge) == w for p, w in zip(bare, want)])
+    assert right(pages_.WIDTH, pages_.SURGE) > 0.98  # an article shorter than its footer is lost
+    assert right(99, pages_.SURGE) < 0.1 and right(pages_.WIDTH, 2) == 0  # window and threshold decide
+    assert not any(pages_.main_text(p, surge=2) for p in given)
+
+
+def test_windows_match_brute_force():
+    rng = np.random.default_rng(4)
+    for width in (1, 2, 3, 5, 8):
+        w = rng.integers(0, 9, 30).tolist()
+        assert pages_.window_sums(w, width) == [sum(w[j] for j in range(30) if i - width // 2 <= j < i - width // 2 + width) for i in range(30)]
+    assert pages_.window_sums([], 3) == []
+
+
+def test_extract_ignores_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>a</p>", "x", 7)] * 2, "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in pages_.extract(rows).collect()] == [(1, "u", "a", 1)] * 2
 
 
 # ---- toxicity
