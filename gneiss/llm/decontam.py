@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts are cut to words (letters and digits, lower case); numbers, units after numbers and names (capitalised inside a
+Texts are cut to words (letters and digits, lower case); numbers (digits or words), units after numbers and names (capitalised inside a
 sentence) become typed placeholders; a second template takes every capitalised word for a name, as names also begin sentences.
 Windows of words, literal and with the placeholders of either template, are hash-joined with those of the
 benchmark. A run of matching windows along one alignment is a hit if it is long enough. Literal windows count as they are,
@@ -29,7 +29,8 @@ from .common import _LOWER, hash_words, materialize, mix, pieces, raw_bytes, sma
 
 WINDOW = 8
 LEAST_WORDS = 13  # words that a run must cover, or half of the item if that is less
-ITEM_ROWS = 20_000
+ITEM_ROWS = 20_000  # items that go out at once
+ITEM_BYTES = 16 << 20  # and bytes of their texts, unless one item has more: about 40 bytes a word are broadcast
 U = np.uint64
 
 _ALNUM = np.zeros(256, bool)
@@ -41,15 +42,22 @@ _BREAK[[10, 13, 33, 46, 63]] = True
 UNITS = frozenset(
     "m cm mm km kg g mg lb lbs oz ml l liter liters litre litres meter meters metre metres mile miles inch inches foot feet yard yards s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents pound pounds percent pct degree degrees celsius fahrenheit kmh mph watt watts volt volts joule joules newton newtons hz".split()
 )
+#: Of the languages at hand, without those that are mostly other words (ein, un, once).
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen "
+    "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille "
+    "dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil".split()
+)
 NUMBER, UNIT, NAME = (U(x) for x in (0x6E75, 0x756E, 0x6E61))
 
 
-def _unit_hashes() -> np.ndarray:
-    data, at = raw_bytes(pa.array(sorted(UNITS)))
+def _hashes(words: frozenset[str]) -> np.ndarray:
+    data, at = raw_bytes(pa.array(sorted(words)))
     return np.sort(hash_words(data, at[:-1], at[1:]))
 
 
-_UNIT_HASHES = _unit_hashes()
+_UNIT_HASHES, _NUMBER_HASHES = _hashes(UNITS), _hashes(NUMBER_WORDS)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,6 +98,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     h = hash_words(low, starts, ends, _LOWER)
     letters = np.concatenate([[0], np.cumsum(~(digit | point))])
     number = letters[ends] == letters[starts]
+    number |= _NUMBER_HASHES[np.minimum(np.searchsorted(_NUMBER_HASHES, h), len(_NUMBER_HASHES) - 1)] == h
     breaks = np.concatenate([[0], np.cumsum(_BREAK[data] & ~point)])
     initial = np.ones(len(starts), bool)
     initial[1:] = breaks[starts[1:]] > breaks[ends[:-1]]
@@ -134,7 +143,7 @@ def _clashes(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
 class Benchmark:
     """The windows of a block of items, sorted by hash."""
 
-    def __init__(self, ids: list, column: pa.Array, width: int):
+    def __init__(self, ids: list, column: pa.Array, width: int, templates: bool = True):
         self.ids, self.width = ids, width
         data, offsets = raw_bytes(column)
         self.h, self.t, self.wide, self.of = tokens(data, offsets)
@@ -142,7 +151,7 @@ class Benchmark:
         hashes, items, at = [], [], []
         for i, n in enumerate(self.words.tolist()):
             a = self.of[i]
-            for stream, salt in ((self.h, U(0)), (self.t, U(1)), (self.wide, U(2))):
+            for stream, salt in ((self.h, U(0)), (self.t, U(1)), (self.wide, U(2)))[: 3 if templates else 1]:
                 w = windows(stream[a : a + n], min(n, width)) if n else np.zeros(0, np.uint64)
                 w = mix(w ^ (U(min(n, width)) << U(8)) ^ salt)
                 if salt:  # a window of placeholders alone says nothing
@@ -228,19 +237,26 @@ class Benchmark:
             yield text, item, n, int(self.words[item]), differ
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, item_rows: int = ITEM_ROWS) -> DataFrame:
-    """A row per document and item that it holds: doc_id, item_id, words (covered), coverage (of the item), changed (whether
-    slots were filled anew). ``docs`` has doc_id and text, ``benchmark`` item_id and text."""
-    small_batches(docs.sparkSession)
+def _blocks(benchmark: DataFrame, width: int, item_rows: int, templates: bool) -> Iterator[Benchmark]:
+    """The items with a text in blocks of bounded size, each loaded when it is asked for."""
     items = benchmark.select("item_id", "text").where("text is not null")
-    blocks = max(1, math.ceil(items.count() / item_rows))
-    out = None
+    rows, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, math.ceil(rows / item_rows), math.ceil((size or 0) / ITEM_BYTES))
     for n in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
         table = part.toArrow()
-        sent = docs.sparkSession.sparkContext.broadcast(Benchmark(table.column("item_id").to_pylist(), table.column("text").combine_chunks(), width))
-        found = _scan(docs, sent, benchmark)
-        found = found if blocks == 1 else materialize(found, "leaks")
+        yield Benchmark(table.column("item_id").to_pylist(), table.column("text").combine_chunks(), width, templates)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, item_rows: int = ITEM_ROWS, templates: bool = True) -> DataFrame:
+    """A row per document and item that it holds: doc_id, item_id, words (covered), coverage (of the item), changed (whether
+    slots were filled anew). ``docs`` has doc_id and text, ``benchmark`` item_id and text; without ``templates`` only literal
+    windows count."""
+    small_batches(docs.sparkSession)
+    out = None
+    for block in _blocks(benchmark, width, item_rows, templates):
+        found = _scan(docs, docs.sparkSession.sparkContext.broadcast(block), benchmark)
+        found = found if out is None else materialize(found, "leaks")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -272,16 +288,12 @@ def _scan(docs: DataFrame, sent, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold an item of the benchmark; each row is judged by its own text."""
-    items = benchmark.select("item_id", "text").where("text is not null")
     small_batches(docs.sparkSession)
-    if items.isEmpty():
-        return docs
-    blocks = max(1, math.ceil(items.count() / ITEM_ROWS))
     at = docs.columns.index("text")
-    for n in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
-        table = part.toArrow()
-        sent = docs.sparkSession.sparkContext.broadcast(Benchmark(table.column("item_id").to_pylist(), table.column("text").combine_chunks(), width))
+    for block in _blocks(benchmark, width, ITEM_ROWS, True):
+        if not len(block.hash):
+            continue
+        sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def f(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -317,6 +317,57 @@ def test_other_names_and_numbers(item, text, hit):
     assert bool(hits_of(item, text)) == hit
 
 
+COINS = "Maria has seven coins and gives three of them to her friend Tom, so how many coins does she keep?"
+
+
+def test_number_words_are_slots():
+    other = COINS.replace("seven", "nine").replace("three", "two").replace("Maria", "Lena").replace("Tom", "Ben")
+    assert hits_of(COINS, other)[0][4] is True and hits_of(COINS, other.replace("nine", "9"))[0][4] is True
+    assert not hits_of(COINS, other.replace("coins", "marbles").replace("friend", "brother").replace("keep", "lose"))
+
+
+def planted_questions(n=60, seed=5):
+    """Questions, and each asked anew with other names, numbers and units in a text of its own."""
+    rng = np.random.default_rng(seed)
+    plain = [f"{a}{b}{c}" for a in "bdgklm" for b in "aeiou" for c in ("rt", "ns", "lk", "st")]
+    names, units = ["Anna", "Boris", "Carla", "Dmitri", "Elena", "Farid", "Greta", "Hugo"], ["km", "miles", "hours", "kg"]
+    numbers = ["2", "3", "7", "12", "45", "1,200", "0.5", "four", "nine", "twenty"]
+    questions, texts = [], []
+    for _ in range(n):
+        words = list(rng.choice(plain, 28))
+        at = [k * 4 + int(rng.integers(1, 5)) for k in range(6)]
+        kinds = ["name", "number", "number", "name", "number", "unit"]
+        fill = []
+        for _ in range(2):
+            w = list(words)
+            who = list(rng.permutation(names)[:2])
+            for p, kind in zip(at, kinds):
+                w[p] = who.pop() if kind == "name" else f"{rng.choice(numbers)} {rng.choice(units)}" if kind == "unit" else str(rng.choice(numbers))
+            w[0] = w[0].capitalize()
+            fill.append(" ".join(w) + "?")
+        questions.append(fill[0])
+        texts.append(" ".join(rng.choice(plain, 80)) + ". " + fill[1] + " " + " ".join(rng.choice(plain, 80)))
+    return questions, texts
+
+
+def test_asked_anew_is_found_by_templates(spark):
+    questions, texts = planted_questions()
+    docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    bench = spark.createDataFrame(list(enumerate(questions)), "item_id long, text string")
+    pairs = lambda **x: {(r.doc_id, r.item_id) for r in decontam.find(docs, bench, **x).collect()}
+    found, literal = pairs(), pairs(templates=False)
+    assert found <= {(i, i) for i in range(60)}
+    assert len(found) == 60 and len(literal) <= 6
+
+
+def test_decontamination_of_repeats_and_clashing_columns(spark):
+    bench = spark.createDataFrame([(5, ITEM, 1, 2.0)] * 2 + [(6, ITEM, 1, 2.0)], "item_id long, text string, words int, doc_id double")
+    docs = spark.createDataFrame([(1, ITEM, "x", True)] * 2 + [(2, "clean", "x", True)], "doc_id long, text string, item_id string, changed boolean")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find(docs, bench).collect()) == sorted([(1, 5)] * 4 + [(1, 6)] * 2)
+    left = decontam.clean(docs, bench)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
+
+
 def test_decontamination_matches_brute_force(spark):
     d = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
