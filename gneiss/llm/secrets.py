@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
+from .common import _LOWER, map_arrow, raw_bytes
 
 ANY: tuple = ("any",)
 MOST = 48  # strings that a set of exact alternatives may hold before it becomes a query
@@ -52,10 +52,11 @@ RULES = (
     # A run of fewer than 24 is dropped whole, so asking for 24 at once finds the same spans.
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
     Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # Runs are entered at their beginning only, and never given back: a long run is read once.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("github", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("urlcred", r"[a-z][a-z0-9+.-]*://[^\s/:@]{1,64}:[^\s/@]{3,}@[A-Za-z0-9.-]+"),
+    Rule("urlcred", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\s/:@]++:[^\s/@]{3,}+@[A-Za-z0-9.-]+"),
 )
 
 
@@ -169,9 +170,30 @@ def trigrams(query: tuple) -> set[str]:
 
 
 def postings(texts: pa.Array, names: set[str]) -> dict[str, np.ndarray]:
-    """The inverted index of a block: for each trigram the rows that have it, ascending."""
-    low = pc.ascii_lower(texts)
-    return {t: np.flatnonzero(pc.match_substring(low, t).to_numpy(zero_copy_only=False)) for t in names}
+    """The inverted index of a block: for each trigram named the rows that have it, ascending. One pass over the bytes takes
+    up the places where two bytes begin a trigram that is named; the third decides which."""
+    out = {t: np.zeros(0, np.int64) for t in names}
+    wanted = {int.from_bytes(t.encode(), "big"): t for t in names if len(t.encode()) == 3}
+    data, offsets = raw_bytes(texts)
+    if len(data) < 3 or not wanted:
+        return out
+    codes = np.sort(np.fromiter(wanted, np.int32, len(wanted)))
+    begins = np.zeros(1 << 16, bool)
+    begins[codes >> 8] = True
+    low = _LOWER[data]
+    pair = (low[:-2].astype(np.uint16) << 8) | low[1:-1]
+    at = np.flatnonzero(begins[pair])
+    code = (pair[at].astype(np.int32) << 8) | low[at + 2]
+    found = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    hit = codes[found] == code
+    at, found = at[hit], found[hit]
+    row = np.searchsorted(offsets, at, "right") - 1
+    inside = at + 3 <= offsets[row + 1]  # not over the end of a text
+    entries = np.unique(found[inside].astype(np.int64) * len(texts) + row[inside])
+    which, row = np.divmod(entries, len(texts))
+    for k, rows in zip(np.unique(which).tolist(), np.split(row, np.flatnonzero(np.diff(which)) + 1)):
+        out[wanted[int(codes[k])]] = rows
+    return out
 
 
 def answer(query: tuple, index: dict[str, np.ndarray]) -> np.ndarray | None:
@@ -189,6 +211,14 @@ def answer(query: tuple, index: dict[str, np.ndarray]) -> np.ndarray | None:
     return np.intersect1d(a, b, assume_unique=True) if query[0] == "and" else np.union1d(a, b)
 
 
+def _scanned(texts: pa.Array, pattern: str) -> np.ndarray:
+    """The rows that match; all rows if the pattern has what an automaton can't do."""
+    try:
+        return np.flatnonzero(pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False))
+    except pa.ArrowInvalid:
+        return np.arange(len(texts))
+
+
 def find(texts: pa.Array, rules: tuple[Rule, ...] = RULES) -> dict[int, list[tuple[int, int, int]]]:
     """Of a block of texts without nulls: for each row that has any, (start, number of rule, end), sorted."""
     queries = [trigram_query(r.pattern) for r in rules]
@@ -197,7 +227,7 @@ def find(texts: pa.Array, rules: tuple[Rule, ...] = RULES) -> dict[int, list[tup
     for k, (rule, query) in enumerate(zip(rules, queries)):
         rows = answer(query, index)
         if rows is None:  # a full scan; the automaton only names the rows that match
-            rows = np.flatnonzero(pc.match_substring_regex(texts, rule.pattern).to_numpy(zero_copy_only=False))
+            rows = _scanned(texts, rule.pattern)
         for i, text in zip(rows.tolist(), texts.take(pa.array(rows)).to_pylist()):
             for start, end in rule.spans(text):
                 found.setdefault(i, []).append((start, k, end))

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 from zlib import crc32
 
 import numpy as np
@@ -121,6 +122,44 @@ def test_trigram_queries_never_lose_a_match():
         assert any(k == i for spans in secrets.find(text).values() for _, k, _ in spans for i in [secrets.RULES.index(rule)])
 
 
+def test_postings_match_brute_force():
+    rng = np.random.default_rng(3)
+    alphabet = list("abcAK_-: é.")
+    texts = ["".join(rng.choice(alphabet, int(rng.integers(0, 60)))) for _ in range(300)] + ["", "ab", "c" * 4000 + "abc"]
+    names = {"".join(rng.choice(list("abck_-: ."), 3)) for _ in range(60)} | {"abc"}
+    got = secrets.postings(pa.array(texts, pa.large_string()), names)
+    assert {k: v.tolist() for k, v in got.items()} == {k: [i for i, t in enumerate(texts) if k in t.lower()] for k in names}
+    assert all(not len(v) for v in secrets.postings(pa.array([], pa.large_string()), names).values())
+
+
+def test_every_rule_on_its_own_scan():
+    """The spans of all rules, found by the index, against a search of every text for every rule."""
+    rng = np.random.default_rng(8)
+    pieces_ = ["eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM", "ghp_" + "a" * 36, "xoxb-1234567890", "https://user:pass@host", "ApI_Key='abcdef'", "AKIA" + "A" * 16, "0" * 24, " ", "é", "x.", "-", "\n", "://", "eyJ", "9http://a:bcd@e", "-----BEGIN PRIVATE KEY-----ab\n-----END PRIVATE KEY-----"]
+    texts = ["".join(rng.choice(pieces_, 12)) for _ in range(200)]
+    got = secrets.find(pa.array(texts, pa.large_string()))
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == sorted((a, k, b) for k, r in enumerate(secrets.RULES) for a, b in r.spans(t))
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["x" * 1_000_000 + "://", "eyJ" * 400_000 + ".eyJ", "a" * 500_000 + "://b:" + "c" * 500_000, "http://" * 150_000, "eyJaaaaaaaa." * 90_000, "-----BEGIN " + "A " * 500_000, "password" + " " * 1_000_000, "://" + ":" * 1_000_000, "0123456789abcdeg" * 70_000],
+)
+def test_long_runs_are_read_once(text):
+    began = time.process_time()
+    secrets.find(pa.array([text], pa.large_string()))
+    assert time.process_time() - began < 5
+
+
+def test_secrets_of_nothing_of_repeats_and_of_clashing_columns(spark):
+    assert secrets.scan(docs_of(spark, [])).count() == 0 and secrets.redact(docs_of(spark, [])).count() == 0
+    d = spark.createDataFrame([(1, "token=abcdefgh", 3, "x")] * 2 + [(None, None, 3, "x")], "doc_id long, text string, n_hex int, spans string")
+    got = secrets.scan(d).collect()
+    assert sorted((r.doc_id or 0, r.n_assign, r.n_hex, r.spans) for r in got) == [(0, 0, 0, ""), (1, 1, 0, "assign:0:14"), (1, 1, 0, "assign:0:14")]
+    assert secrets.redact(d).columns == d.columns and {r.spans for r in secrets.redact(d).collect()} == {"x"}
+
+
 def test_redaction_keeps_rows_and_counts_again(spark):
     got = secrets.redact(docs_of(spark, [(1, "é token=abcdefgh end", "s"), (2, None, "s"), (3, "clean", "s")])).orderBy("doc_id").collect()
     assert [r.text for r in got] == ["é [assign] end", None, "clean"] and got[0].n_chars == len("é [assign] end")
