@@ -273,15 +273,63 @@ def test_clean_keeps_all_if_nothing_was_learnt(spark):
         assert toxicity.clean(docs, model).count() == 3
 
 
-def test_a_long_text_leaves_the_others_in_the_sample(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 2_000)
+def test_a_long_text_leaves_the_others_in_the_sample(spark):
     rows = [(i, "wretched fool" if i % 2 else "green river", "s") for i in range(40)]
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(41)], "doc_id long, quality int, toxic int")
     first = spark.sql("select id from range(41) order by xxhash64(id)").toPandas()["id"].tolist()
     long_ = next(i for i in first if crc32(str(i).encode()) % 5)  # the first of the sample
     docs = docs_of(spark, [(i, "x " * 2_000 if i == long_ else t, s) for i, t, s in rows] + [(40, "x " * 2_000, "s")])
-    model = toxicity.fit(docs, labels)
+    model = toxicity.fit(docs, labels, sample_bytes=2_000)
     assert model.score("wretched fool") > 0.5 > model.score("green river")
+    assert not toxicity.fit(docs, labels, sample_bytes=5).learnt
+
+
+def brute_score(model, text):
+    """The average over the distinct words' n-grams, one by one."""
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m64
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m64
+        return x ^ (x >> 31)
+
+    def whole(w):
+        p, h, base = 1, 0, 0x9E3779B97F4A7C15
+        for c in w:
+            h, p = (h + (c + 1) * p) & m64, (p * base) & m64
+        return mix(mix(h ^ (len(w) * base & m64)))
+
+    weights = []
+    for w in set(re.findall("[a-zß-öø-ÿÀ-ÖØ-Þ]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)])), "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xE0, 0xF7), *range(0xF8, 0xFF)])))))):
+        raw = w.encode()
+        weights.append(model.weight[whole(raw) % len(model.weight)])
+        marked = b"<" + raw + b">"
+        for k in toxicity.SIZES:
+            for i in range(len(marked) - k + 1 if len(marked) > k else 0):
+                h = 0
+                for c in marked[i : i + k]:
+                    h = (h * 0x100000001B3 + c) & m64
+                weights.append(model.weight[mix((h + k) & m64) % len(model.weight)])
+    return 1 / (1 + np.exp(-(model.bias + (np.mean(weights, dtype=float) if weights else 0))))
+
+
+def test_scores_match_brute_force():
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(0, 3, toxicity.BUCKETS).astype(np.float32), -0.3)
+    texts = [None, "", "a", "ab ab AB", "Élan vital — naïve; ¿qué? it's x2y", "l'école 12 «zwölf»", "word " * 3000 + "idiot", "x" * 50_000, "\x85 ½ ª"]
+    texts += [" ".join("".join(rng.choice(list("abcdeÄé-'.7"), int(rng.integers(1, 12)))) for _ in range(40)) for _ in range(30)]
+    assert np.allclose(model.scores(pa.array(texts)), [brute_score(model, t) for t in texts], atol=1e-5)
+
+
+def test_toxicity_of_nothing_repeats_and_clashing_columns(spark):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(30)] * 2 + [(3, 1, 0)], "doc_id long, text int, toxic int")
+    docs = spark.createDataFrame([(i, "wretched fool" if i % 2 else "green river", 0.5, "x") for i in range(30)] * 2, "doc_id long, text string, score double, toxic string")
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 60 and all(r.predicted == r.doc_id % 2 for r in got)
+    left = toxicity.clean(docs, model)
+    assert left.columns == docs.columns and left.count() == 30
+    assert toxicity.score(docs.limit(0), model).count() == 0 and not toxicity.fit(docs.limit(0), labels).learnt
 
 
 @pytest.mark.parametrize("n", [40, 80])
