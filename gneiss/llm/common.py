@@ -52,11 +52,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gneiss-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    _at_exit(spark, path)
+    at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _at_exit(spark: SparkSession, path: str) -> None:
+def at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a path when the application ends."""
+
     def remove() -> None:
         try:
             jvm = spark.sparkContext._jvm
