@@ -24,7 +24,8 @@ from pyspark.sql.window import Window
 
 from .common import materialize
 
-QUERY_ROWS = 16_384  # queries that go out at once: with 64 dimensions 8 MB
+QUERY_ROWS = 16_384  # queries that go out at once
+QUERY_BYTES = 8 << 20  # and bytes of their vectors, unless one query has more
 BLOCK = 2_048
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
@@ -135,7 +136,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     """(query_id, rank, vec_id, score): of ``vectors`` (vec_id, embedding) the k best candidates of every query row."""
     rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long"), "embedding")
     queries = rows.where(is_query)
-    blocks = max(1, math.ceil(queries.count() / query_rows))
+    count, elements = queries.agg(F.count("*"), F.sum(F.size("embedding"))).first()
+    blocks = max(1, math.ceil(count / query_rows), math.ceil((elements or 0) * 8 / QUERY_BYTES))
     found = None
     for n in range(blocks):
         sent = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n)
