@@ -6,11 +6,13 @@ similar differ in at most D shingles, so by the pigeonhole principle they agree
 shingle at most: the keys of a set are its subset in each segment and, in the segments to which the allocation gives one
 deletion, the subset less any one shingle. How many segments delete is chosen by cost from the counted sizes of the bands.
 Shingles that many texts hold (passages, licences) stay out of it: similar sets differ by no more in their rare shingles.
-Empty segments say little; a scheme has as many segments to spare as a set usually has of these, and a set with more of them
-shows all its keys and the partition of all its shingles besides, so no pair is lost.
+Empty segments say little and have no keys; a scheme has as many segments to spare as a set usually has of these. A set with
+more of them shows all its keys, and partitions of all its shingles besides: into few segments, each deleting,
+with some to spare for those of one shingle at most. Sets with more of those than that go on to the next of these partitions, by
+another hash, until one has fewer; so no pair is lost and unlike sets share no key.
 
-Keys travel packed, a blob for each batch and part. Sets that share a key are candidates, unless their sizes or their
-parity sketches rule them out; candidates are verified exactly on the whole sets, each shipped once to each component.
+Keys travel packed, a blob for each batch and part. A key of more than GROUP sets is compared by pairs of blocks in tasks of
+their own. Sets that share a key are candidates, unless their sizes or their parity sketches rule them out; candidates are verified exactly on the whole sets, each shipped once to each component.
 
 Cases: a null text, or one without words, has an empty set and links with nothing; fewer words than n make one shingle; a
 row with a null id shows its size and has no links (n_similar 0, component null); rows that repeat an id are documents each;
@@ -19,6 +21,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -31,11 +34,14 @@ from .common import hash_words, materialize, mix, pieces, raw_bytes, small, smal
 from .components import connected_components
 
 U = np.uint64
+_PRIME = U(0x9E3779B97F4A7C15)
 _SEG, _VAL, _CLS = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
 _FULL = (1 << 64) - 1
 PART_BYTES = 24 << 20  # of packed keys that a task compares at once
 FLUSH = 1_500_000  # keys packed at once
 HOT_SHARE = 100_000  # classes with more than this part of all rows are hot; there are at most so many
+LEVELS = 12  # partitions of all shingles; a set needs each with a chance of a few in a hundred
+GROUP = 20_000  # sets of one key that a task compares at once
 FEW = 1_000_000  # rows of two or three longs that may be broadcast once counted
 COMPONENT_BYTES = 48 << 20  # of sets that a verifying task holds
 COMMON_SHARE = 2_000  # a shingle in more than this part of all texts is common; 2,000 times a text's shingles at most are
@@ -123,44 +129,81 @@ def allocate(first: int, docs: int, num: int, den: int) -> tuple[int, int, int]:
     return best[1]
 
 
-def keys_of(shingles: np.ndarray, common: np.ndarray, scheme: int, m: int, b: int, spare: int) -> np.ndarray:
-    """The keys of a set in a scheme. Sets that are similar differ by no more in their rare shingles alone, so these are
-    partitioned; a set with too few for its segments adds, for others like it, the partition of all its shingles."""
+@functools.lru_cache(maxsize=4096)
+def fallback(first: int, most: int) -> tuple[int, int]:
+    """Of the partitions of all shingles of sets from ``first`` that differ in at most ``most``: segments, all deleting, and
+    how many of these may have one shingle at most. One more than these agree, so a set with no more has a key to show."""
+    best = (1.0, most // 2 + 1, 0)
+    for room in range(0, 2 + most // 8):
+        m = most // 2 + 1 + room
+        mean, dev = weak(m, first, 1)
+        over = 0.5 * math.erfc((room + 0.5 - mean) / (max(dev, 0.3) * math.sqrt(2)))
+        best = min(best, (over, m, room))
+        if over < 0.03:
+            break
+    return best[1:]
+
+
+def keys_of(shingles: np.ndarray, common: np.ndarray, scheme: int, first: int, most: int, m: int, b: int, spare: int) -> np.ndarray:
+    """The keys of a set in a scheme for sets from ``first`` shingles that differ in at most ``most``. Sets that are similar differ by no more
+    in their rare shingles alone, so these are partitioned; a set with too few for its segments adds, for others like it,
+    partitions of all its shingles."""
     values, spots = mix(shingles ^ _VAL), mix(shingles + _SEG) >> U(32)
     rare = ~common
-    keys, every = _segment_keys(values[rare], spots[rare], 2 * scheme, m, b, spare, False)
+    keys, every = _segment_keys(values[rare], spots[rare], 2 * scheme, m, b, spare)
     if not every:
         return keys
-    return np.concatenate([keys, _segment_keys(values, spots, 2 * scheme + 1, m, b, spare, True)[0]])
+    out, (fewest, room) = [keys], fallback(first, most)
+    for level in range(LEVELS):
+        spots = mix(shingles * _PRIME + U(level * int(_SEG) & _FULL)) >> U(32)
+        keys, bare = _deleting_keys(values, spots, (2 * scheme + 1) * LEVELS + level, fewest)
+        out.append(keys)
+        if bare <= room:
+            break
+    else:  # the last of them shows the keys of what is empty, too
+        out.append(mix(np.arange(fewest, dtype=np.uint64) * _SEG + U((2 * scheme + 1) * LEVELS * int(_CLS) & _FULL)))
+    return np.concatenate(out)
+
+
+def _runs(values: np.ndarray, spots: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Values by segment, the segments that have any, their sums and counts."""
+    seg = ((spots * U(m)) >> U(32)).astype(np.int64)
+    order = np.argsort(seg, kind="stable")
+    seg, values = seg[order], values[order]
+    first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+    return values, seg[first], np.add.reduceat(values, first), np.diff(np.append(first, len(seg)))
 
 
-def _segment_keys(values: np.ndarray, spots: np.ndarray, salt: int, m: int, b: int, spare: int, empties: bool) -> tuple[np.ndarray, bool]:
+def _segment_keys(values: np.ndarray, spots: np.ndarray, salt: int, m: int, b: int, spare: int) -> tuple[np.ndarray, bool]:
     """Keys of the segments that aren't weak: with a shingle, or two where one is deleted. If more weight than ``spare`` is
-    in weak ones, which is told, all show their keys, on demand the empty ones too."""
+    in weak ones, which is told, all that have a shingle show their keys."""
     salt = U(salt * int(_CLS) & _FULL)
     if not len(values):
-        return mix(np.arange(m if empties else 0, dtype=np.uint64) * _SEG + salt), True
-    seg = ((spots * U(m)) >> U(32)).astype(np.int64)
-    order = np.argsort(seg, kind="stable")
-    seg, values = seg[order], values[order]
-    first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-    which = seg[first]
-    sums = np.add.reduceat(values, first)
-    counts = np.diff(np.append(first, len(seg)))
+        return np.zeros(0, np.uint64), True
+    values, which, sums, counts = _runs(values, spots, m)
     strong = counts > (which < b)
     every = m + b - int(np.where(which[strong] < b, 2, 1).sum()) > spare
     shown = np.ones(len(which), bool) if every else strong
     out = [sums[shown] ^ (which[shown].astype(np.uint64) * _SEG + salt)]
     if b:
-        run = np.repeat(np.arange(len(first)), counts)
-        deleting = (which[run] < b) & shown[run] & ((counts[run] > 1) | empties)
+        run = np.repeat(np.arange(len(which)), counts)
+        deleting = (which[run] < b) & shown[run] & (counts[run] > 1)
         r = run[deleting]
         out.append((sums[r] - values[deleting]) ^ (which[r].astype(np.uint64) * _SEG + salt))
-    if every and empties and len(which) < m:
-        out.append(np.setdiff1d(np.arange(m), which, assume_unique=True).astype(np.uint64) * _SEG + salt)
     return mix(np.concatenate(out)), every
 
 
+def _deleting_keys(values: np.ndarray, spots: np.ndarray, salt: int, m: int) -> tuple[np.ndarray, int]:
+    """Keys of a partition into ``m`` segments that all delete, and how many of these have one shingle at most."""
+    salt = U(salt * int(_CLS) & _FULL)
+    values, which, sums, counts = _runs(values, spots, m)
+    run = np.repeat(np.arange(len(which)), counts)
+    deleting = counts[run] > 1
+    r = run[deleting]
+    keys = [sums ^ (which.astype(np.uint64) * _SEG + salt), (sums[r] - values[deleting]) ^ (which[r].astype(np.uint64) * _SEG + salt)]
+    return mix(np.concatenate(keys)), m - int((counts > 1).sum())
+
+
 # ---- The join ----------------------------------------------------------------------------------------------------------
 
 
@@ -215,8 +258,9 @@ def _pack(keys: list[np.ndarray], owners: list[np.ndarray], table: list[tuple[in
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "keys", "place", "cls", "n", "sketch"])
 
 
-def _signatures(docs: DataFrame, width: int, starts: list[int], schemes: dict[int, tuple[int, int, int]], parts: int, hot, common) -> DataFrame:
+def _signatures(docs: DataFrame, width: int, starts: list[int], schemes: dict[int, tuple[int, int, int]], parts: int, num: int, den: int, hot, common) -> DataFrame:
     edges = np.array(starts)
+    most = {k: difference(starts[k], num, den) for k in schemes}
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_cls, hot_rep = hot.value
@@ -246,7 +290,7 @@ def _signatures(docs: DataFrame, width: int, starts: list[int], schemes: dict[in
                     is_common[is_common] = often[at] == q
                 for scheme in (band, band - 1):
                     if scheme in schemes:
-                        k = keys_of(s, is_common, scheme, *schemes[scheme])
+                        k = keys_of(s, is_common, scheme, starts[scheme], most[scheme], *schemes[scheme])
                         keys.append(k)
                         owners.append(np.full(len(k), len(table), np.int32))
                         held += len(k)
@@ -262,8 +306,34 @@ def _signatures(docs: DataFrame, width: int, starts: list[int], schemes: dict[in
     return docs.mapInArrow(f, "part int, keys binary, place binary, cls binary, n binary, sketch binary")
 
 
-def _candidates(blobs: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+def _compare(k: np.ndarray, c: np.ndarray, n: np.ndarray, s: np.ndarray, num: int, den: int, apart: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of classes with one key, each once, that neither size nor sketch rules out; only of different ``apart``, if that
+    is given. Rows are sorted by key and size."""
+    found: list[np.ndarray] = []
+    held, live, d = 0, np.arange(len(k)), 1
+    while len(live):
+        live = live[live + d < len(k)]
+        live = live[(k[live] == k[live + d]) & (n[live] * den >= n[live + d] * num)]
+        if not len(live):
+            break
+        j = live + d
+        bits = np.bitwise_count((s[live] ^ s[j]).view(np.uint64)).astype(np.int64)
+        good = (bits * (num + den) <= (n[live] + n[j]) * (den - num)) & (c[live] != c[j])
+        if apart is not None:
+            good &= apart[live] != apart[j]
+        a, b = c[live[good]], c[j[good]]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        held += len(a)
+        if held > 2_000_000:
+            found = [np.unique(np.concatenate(found), axis=0)]
+            held = 0
+        d += 1
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
+
+def _candidates(blobs: DataFrame, parts: int, num: int, den: int, group: int | None = None) -> DataFrame:
     """Pairs of classes that share a key and that neither size nor sketch rules out; each part's pairs once."""
+    group = GROUP if group is None else group
 
     def part(table: pa.Table) -> pa.Table:
         ks, cs, ns, ss = [], [], [], []
@@ -275,6 +345,7 @@ def _candidates(blobs: DataFrame, parts: int, num: int, den: int) -> DataFrame:
             cs.append(np.frombuffer(cls, np.int64)[at])
             ns.append(np.frombuffer(n, np.int32)[at])
             ss.append(np.frombuffer(sketch, np.int64)[at])
+        number = table.column("part")[0].as_py()
         k = np.concatenate(ks)
         order = np.argsort(k, kind="stable")
         same = k[order][1:] == k[order][:-1]
@@ -287,29 +358,43 @@ def _candidates(blobs: DataFrame, parts: int, num: int, den: int) -> DataFrame:
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
         k, c, n, s = k[new], c[new], n[new], s[new]
-        found: list[np.ndarray] = []
-        held, live, d = 0, np.arange(len(k)), 1
-        while len(live):
-            live = live[live + d < len(k)]
-            live = live[(k[live] == k[live + d]) & (n[live] * den >= n[live + d] * num)]
-            if not len(live):
-                break
-            j = live + d
-            bits = np.bitwise_count((s[live] ^ s[j]).view(np.uint64)).astype(np.int64)
-            good = bits * (num + den) <= (n[live] + n[j]) * (den - num)
-            a, b = c[live[good]], c[j[good]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-            held += len(a)
-            if held > 2_000_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                held = 0
-            d += 1
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        del k, c, n, s, found
+        sizes = np.diff(np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))) if len(k) else np.zeros(0, np.int64)
+        many = np.repeat(sizes, sizes)
+        big = many > group
+        pairs = _compare(k[~big], c[~big], n[~big], s[~big], num, den)
+        # A large group goes on as rows: its class as both ends, part and key as its name.
+        name = (k[big] ^ mix(np.array([number], np.uint64))).view(np.int64)
+        none = np.zeros(len(pairs), np.int64)
+        out = {"a": np.concatenate([pairs[:, 0], c[big]]), "b": np.concatenate([pairs[:, 1], c[big]])}
+        out |= {x: np.concatenate([none, y]) for x, y in (("key", name), ("n", n[big]), ("sketch", s[big]), ("size", many[big]))}
+        del k, c, n, s
         trim()
+        return pa.table(out)
+
+    found = blobs.repartitionById(parts, "part").groupBy("part").applyInArrow(part, "a long, b long, key long, n long, sketch long, size long")
+    found = materialize(found, "compared")
+    pairs = found.where("size = 0").select("a", "b")
+    large = found.where("size > 0")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(_by_blocks(large, group, num, den))
+    return pairs.distinct()
+
+
+def _by_blocks(large: DataFrame, group: int, num: int, den: int) -> DataFrame:
+    """The pairs of large groups (key, a, n, sketch, size): a task for each two blocks of a group."""
+    blocks = F.ceil(F.col("size") / F.lit(group / 2)).cast("int")
+    rows = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("key", "a", "n", "sketch", "block", other).select("key", "a", "n", "sketch", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+    def pair(table: pa.Table) -> pa.Table:
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        c, n, s, block = (table.column(v).to_numpy() for v in ("a", "n", "sketch", "block"))
+        order = np.lexsort((c, n))
+        pairs = _compare(np.zeros(len(c), np.uint64), c[order], n[order], s[order], num, den, None if x == y else block[order])
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return blobs.repartition(parts, "part").groupBy("part").applyInArrow(part, "a long, b long").distinct()
+    return rows.groupBy("key", "x", "y").applyInArrow(pair, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -394,7 +479,7 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     common = spark.sparkContext.broadcast(np.sort(often.select("cls").toArrow().column("cls").to_numpy().view(np.uint64)))
     cores = spark.sparkContext.defaultParallelism
     parts = max(min(cores, math.ceil(shingles * 5 / (1 << 20))), math.ceil(shingles * 5 / PART_BYTES))
-    pairs = materialize(_candidates(_signatures(docs.where("doc_id is not null"), width, starts, schemes, parts, sent, common), parts, num, den), "candidates")
+    pairs = materialize(_candidates(_signatures(docs.where("doc_id is not null"), width, starts, schemes, parts, num, den, sent, common), parts, num, den), "candidates")
     links = materialize(_verified(pairs, docs, classes, width, num, den), "links")
     found = materialize(connected_components(links), "components")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

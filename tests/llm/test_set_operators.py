@@ -147,7 +147,33 @@ def test_schemes_find_every_similar_pair():
             rare_of = {int(h): bool(c) for h, c in zip(np.concatenate([r, s[both:]]), often)}
             flags = [np.array([rare_of[int(h)] for h in x]) for x in (r, s)]
             for m, b, spare in plans:
-                assert len(np.intersect1d(jaccard.keys_of(r, flags[0], k, m, b, spare), jaccard.keys_of(s, flags[1], k, m, b, spare)))
+                assert len(np.intersect1d(jaccard.keys_of(r, flags[0], k, first, d, m, b, spare), jaccard.keys_of(s, flags[1], k, first, d, m, b, spare)))
+
+
+def test_unlike_sets_share_no_key():
+    """Random sets, some of few rare shingles, in the scheme of a million."""
+    rng = np.random.default_rng(9)
+    for n in (10, 14, 30, 80, 300, 1000):
+        k = [i for i, first in enumerate(jaccard.bands(5000, 80, 100)) if first <= n][-1]
+        first = jaccard.bands(5000, 80, 100)[k]
+        d = jaccard.difference(first, 80, 100)
+        scheme, seen, keys = jaccard.allocate(first, 10**6, 80, 100), Counter(), 0
+        for i in range(1000 if n < 200 else 200):
+            s = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            found = np.unique(jaccard.keys_of(s, rng.random(n) < (0.7 if i % 2 else 0), k, first, d, *scheme))
+            seen.update(found.tolist())
+            keys += len(found)
+        assert max(seen.values()) == 1 and keys < 6 * n * (1000 if n < 200 else 200)
+
+
+def test_large_groups_are_compared_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 5)
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(i, " ".join([*passage, *(f"x{i}{j}" for j in range(int(rng.integers(1, 25))))])) for i in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in jaccard.join(df).collect())
+    assert got == brute_join(rows) and max(r[2] for r in got) > 20
 
 
 def test_join_of_nothing(spark):
