@@ -23,18 +23,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, that with the least id. Documents without words or id stay. Of rows equal
-    in id and text one stays; rows with one id and different texts are judged together."""
-    gone = jaccard.join(docs).where("doc_id is not null and n_shingles > 0 and component_id <> doc_id").select("doc_id").distinct()
+    """One document of each group of linked ones, that with the least id. Documents without words or id stay. Rows that repeat
+    an id are documents of their own, judged each by its text."""
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        gone = jaccard.join(docs).where("doc_id is not null and n_shingles > 0 and component_id <> doc_id").select("doc_id")
+        gone = materialize(gone, "duplicates")
+        return docs.join(small(gone, gone.count(), 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    # Numbers in the order of ids and texts take the place of the ids.
+    number = "row_number"
+    while number.lower() in {c.lower() for c in docs.columns}:
+        number += "_"
+    rows = materialize(docs.where("doc_id is not null").orderBy("doc_id", "text").withColumn(number, F.monotonically_increasing_id()), "numbered")
+    gone = jaccard.join(rows.select(F.col(number).alias("doc_id"), "text")).where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias(number))
     gone = materialize(gone, "duplicates")
-    kept = docs.join(small(gone, gone.count(), 1_000_000), "doc_id", "left_anti").select(*docs.columns)
-    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    n = again.count()
-    if n:
-        ids = small(again, n, 1_000_000)
-        once = kept.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
-    return kept
+    kept = rows.join(small(gone, gone.count(), 1_000_000), number, "left_anti")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -354,3 +354,23 @@ def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 1), (False, 3), (True, 0)]
+
+
+def test_other_texts_of_a_repeated_id_stay(spark):
+    a, b = "a b c d e f g", "one two three four five six seven"
+    docs = spark.createDataFrame([(1, a, "x", 0), (5, a, "x", 0), (5, b, "x", 0), (5, None, "x", 0), (7, b, "x", 0)], "doc_id long, text string, row_number string, n_chars int")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == [(1, a), (5, ""), (5, b)]
+
+
+@pytest.mark.parametrize("n", range(4))
+def test_stages_of_nothing_nulls_and_clashing_columns(spark, n):
+    name, stage = corpus_pipeline.STAGES[n]
+    d = "/root/testdata/sf0.001"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, toxic string, item_id string, cls int, score double, part string"
+    rows = [(None, None, None, None, None, "x", "y", 1, 0.5, "z"), (-1, "", "en", "s", 0, "x", "y", 1, 0.5, "z"), (-2, "plain words " * 30_000, "en", "s", 0, "x", "y", 1, 0.5, "z"), (-3, "a few plain words of no harm", None, "s", 5, "x", "y", 1, 0.5, "z")]
+    docs = spark.createDataFrame(rows, schema)
+    out = stage(spark, docs, d)
+    assert out.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted((r[0] or 0, r[1] or "") for r in rows)
+    assert stage(spark, docs.limit(0), d).count() == 0
