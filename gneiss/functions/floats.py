@@ -27,6 +27,15 @@ def rowwise_scale(row: Column) -> Column:
     return F.greatest(amax / E4M3_MAX, F.lit(1e-12))
 
 
+def f16(value: Column) -> Column:
+    """The value rounded to a half-precision float, ties to even, subnormal below 2**-14; beyond 65520 it is infinite."""
+    v = value.cast("double")
+    e = F.greatest(F.floor(F.log2(F.when(v != 0, F.abs(v)).otherwise(F.lit(1.0)))), F.lit(-14))
+    step = F.pow(F.lit(2.0), e - 10)
+    out = F.rint(v / step) * step
+    return F.when((v == 0) | F.isnan(v), v).when(F.abs(out) > 65504.0, F.signum(v) * F.lit(float("inf"))).otherwise(out)
+
+
 def bf16(value: Column) -> Column:
     """The value rounded to 8 bits of mantissa, ties to even, by arithmetic."""
     v = value.cast("double")

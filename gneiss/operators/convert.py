@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions.floats import bf16, e4m3, rowwise_scale
+from gneiss.functions.floats import bf16, e4m3, f16, rowwise_scale
 
 RECIPES = {"plain": ("cast",), "fp8-rowwise": ("cast", "quantize-rowwise"), "fp8-storage": ("cast", "quantize")}
 CASTABLE = ("F64", "F32", "F16", "BF16")
@@ -56,5 +56,5 @@ def dequantise_error(rows: DataFrame, values: str = "values") -> DataFrame:
 
 def cast_rows(rows: DataFrame, target: str, values: str = "values") -> DataFrame:
     """The values in another plain type, as what they decode to."""
-    kernel = {"BF16": bf16, "F32": lambda x: x.cast("float").cast("double"), "F64": lambda x: x.cast("double")}[target]
+    kernel = {"BF16": bf16, "F16": f16, "F32": lambda x: x.cast("float").cast("double"), "F64": lambda x: x.cast("double")}[target]
     return rows.withColumn(values, F.transform(values, kernel))

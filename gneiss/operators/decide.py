@@ -26,23 +26,32 @@ def candidates(headers: DataFrame, layouts: DataFrame) -> DataFrame:
 
 
 def accepts(headers: DataFrame, layouts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each (artifact, layout, member, component) of ``pairs``: tensors, those declared (overlap), those matched before
-    the first disagreement, and that disagreement's reason and tensor (null: accepted)."""
-    parts = layouts.select("layout", "component", "component_ord").distinct()
-    want = pairs.select("artifact", "layout").join(parts, "layout")
-    declared = layouts.select("layout", "component", F.col("key").alias("name"), "dtypes", F.col("shape").alias("declared"), F.lit(True).alias("known"))
-    rows = headers.join(want, "artifact").join(declared, ["layout", "component", "name"], "left")
-    reason = (
-        F.when(F.col("known").isNull(), "unclaimed").when(F.col("declared") != F.col("shape"), "shape").when(~F.array_contains("dtypes", F.col("dtype")), "dtype")
-    )
-    rows = rows.withColumn("why", reason)
+    """For each (artifact, layout) of ``pairs``, member, and component that declares any of its tensors (the first component,
+    if none does): tensors, those declared (overlap), those matched before the first disagreement, and that disagreement's
+    reason and tensor (null: accepted).
+
+    Tensors meet only the components that declare them. A member's tensors are numbered, so the first that a component
+    doesn't declare is the first number that its hits lack, and no tensor has to be paired with a component to be missed."""
     keys = ["artifact", "layout", "member", "component", "component_ord"]
-    bad = F.when(F.col("why").isNotNull(), F.col("ord"))
-    out = rows.groupBy(*keys).agg(
-        F.count("*").alias("tensors"), F.count("known").alias("overlap"), F.min(bad).alias("first_bad"), F.min_by("why", bad).alias("reason"), F.min_by("name", bad).alias("tensor"), F.min("ord").alias("first")
-    )
-    before = rows.join(out.select(*keys[:4], "first_bad"), keys[:4]).where(F.col("ord") < F.coalesce(F.col("first_bad"), F.lit((1 << 62)))).groupBy(*keys[:4]).agg(F.count("*").alias("matched"))
-    return out.join(before, keys[:4], "left").select(*keys, "tensors", "overlap", F.coalesce("matched", F.lit(0)).alias("matched"), "reason", "tensor")
+    ranked = headers.withColumn("rank", F.row_number().over(Window.partitionBy("artifact", "member").orderBy("ord")) - 1)
+    sizes = ranked.groupBy("artifact", "member").agg(F.count("*").alias("tensors"))
+    declared = layouts.select("layout", "component", "component_ord", F.col("key").alias("name"), "dtypes", F.col("shape").alias("declared"))
+    hits = ranked.join(pairs.select("artifact", "layout"), "artifact").join(declared, ["layout", "name"])
+    hits = hits.withColumn("why", F.when(F.col("declared") != F.col("shape"), "shape").when(~F.array_contains("dtypes", F.col("dtype")), "dtype"))
+    hits = hits.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")) - 1)
+    bad = F.when(F.col("why").isNotNull(), F.col("rank"))
+    judged = hits.groupBy(*keys).agg(F.count("*").alias("overlap"), F.count_if(F.col("rank") == F.col("place")).alias("prefix"), F.min(bad).alias("bad"), F.min_by("why", bad).alias("why"), F.min_by("name", bad).alias("bad_name"))
+    first = layouts.groupBy("layout").agg(F.min(F.struct("component_ord", "component")).alias("c"))
+    alone = sizes.join(pairs.select("artifact", "layout"), "artifact").join(judged.select("artifact", "layout", "member").distinct(), ["artifact", "layout", "member"], "left_anti").join(first, "layout")
+    none = F.lit(None)
+    alone = alone.select("artifact", "layout", "member", F.col("c.component").alias("component"), F.col("c.component_ord").alias("component_ord"), F.lit(0).cast("long").alias("overlap"), F.lit(0).cast("long").alias("prefix"), none.cast("int").alias("bad"), none.cast("string").alias("why"), none.cast("string").alias("bad_name"))
+    rows = judged.unionByName(alone).join(sizes, ["artifact", "member"])
+    lacking = F.when(F.col("prefix") < F.col("tensors"), F.col("prefix"))
+    rows = rows.withColumn("lacking", lacking).withColumn("first", F.least("bad", "lacking"))
+    rows = rows.withColumn("reason", F.when(F.col("first").isNull(), F.lit(None)).when(F.col("first") == F.col("bad"), F.col("why")).otherwise("unclaimed"))
+    names = ranked.select("artifact", "member", F.col("rank").cast("long").alias("first"), F.col("name").alias("first_name"))
+    rows = rows.withColumn("first", F.col("first").cast("long")).join(names, ["artifact", "member", "first"], "left")
+    return rows.select(*keys, "tensors", "overlap", F.coalesce("first", "tensors").alias("matched"), "reason", F.when(F.col("reason").isNotNull(), F.col("first_name")).alias("tensor"))
 
 
 ASSIGNED = "artifact string, layout string, member string, component string, matched long, reason string, tensor string"
@@ -113,25 +122,28 @@ def stamp_all(headers: DataFrame, layouts: DataFrame) -> DataFrame:
     return match_layouts(headers, layouts, pairs).where("reason is null").select("artifact", "layout")
 
 
+LOSSY = 4  # the tier of what can't be undone
+
+
 # ---- derivations -------------------------------------------------------------------------------------------------------
 
 
-def routes(edges: list[tuple[str, str, str, int]]) -> list[tuple[str, str, list[str], int]]:
-    """(source, target, steps, tier sum) of the route with fewest hops between any two topologies, neighbours by the
+def routes(edges: list[tuple[str, str, str, int]]) -> list[tuple[str, str, list[str], int, int]]:
+    """(source, target, steps, tier sum, greatest tier) of the route with fewest hops between any two topologies, neighbours by the
     morphism's name. The catalogue of morphisms is small and already on the driver."""
     ahead = defaultdict(list)
     for a, b, name, tier in edges:
         ahead[a].append((name, b, tier))
     out = []
     for start in sorted({x for e in edges for x in e[:2]}):
-        seen, todo = {start}, deque([(start, [], 0)])
+        seen, todo = {start}, deque([(start, [], 0, 0)])
         while todo:
-            at, steps, cost = todo.popleft()
-            out.append((start, at, steps, cost))
+            at, steps, cost, worst = todo.popleft()
+            out.append((start, at, steps, cost, worst))
             for name, to, tier in sorted(ahead[at]):
                 if to not in seen:
                     seen.add(to)
-                    todo.append((to, [*steps, name], cost + tier))
+                    todo.append((to, [*steps, name], cost + tier, max(worst, tier)))
     return out
 
 
@@ -153,16 +165,17 @@ def relayout(source: Column, target: Column, source_record: Column, target_recor
 
 
 def admit(stamps: DataFrame, lanes: DataFrame, routes_: DataFrame, rules: DataFrame, arrangements: DataFrame) -> DataFrame:
-    """(artifact, lane, decision, cost, hops, lossy, reason): admitted as it is, by the cheapest derivation (the first lane of
-    equal ones), or refused.
+    """(artifact, lane, decision, cost, hops, steps, lossy, reason): admitted as it is, by the cheapest derivation (the first
+    lane of equal ones; its steps are the route's, the quantisation and the arrangement; it is lossy if one of them is of the
+    highest tier), or refused.
 
     stamps: artifact, topology, quant, arrangement; lanes: lane, lane_ord and the same three; routes_: source, target, hops,
-    cost; rules: quant, transforms, inverse; arrangements: arrangement, rank, candidate. All but the stamps are catalogue
+    steps, cost, worst; rules: quant, transforms, inverse; arrangements: arrangement, rank, candidate. All but the stamps are catalogue
     tables; the joins are on keys."""
     s = stamps.select("artifact", *(F.col(c).alias(f"s_{c}") for c in ("topology", "quant", "arrangement")))
-    r = routes_.select(F.col("source").alias("s_topology"), F.col("target").alias("topology"), "hops", F.col("cost").alias("route_cost"))
-    own = stamps.select(F.col("topology").alias("s_topology")).distinct().select("s_topology", F.col("s_topology").alias("topology"), F.lit(0).alias("hops"), F.lit(0).cast("long").alias("route_cost"))
-    r = r.where("s_topology <> topology").select("s_topology", "topology", F.col("hops").cast("int").alias("hops"), F.col("route_cost").cast("long").alias("route_cost")).unionByName(own)
+    r = routes_.select(F.col("source").alias("s_topology"), F.col("target").alias("topology"), "hops", F.col("cost").alias("route_cost"), "steps", "worst")
+    own = stamps.select(F.col("topology").alias("s_topology")).distinct().select("s_topology", F.col("s_topology").alias("topology"), F.lit(0).alias("hops"), F.lit(0).cast("long").alias("route_cost"), F.array().cast("array<string>").alias("steps"), F.lit(0).alias("worst"))
+    r = r.where("s_topology <> topology").select("s_topology", "topology", F.col("hops").cast("int").alias("hops"), F.col("route_cost").cast("long").alias("route_cost"), "steps", F.col("worst").cast("int").alias("worst")).unionByName(own)
     pairs = s.join(r, "s_topology").join(lanes, "topology")
     for side in ("s_", ""):
         pairs = pairs.join(rules.select(F.col("quant").alias(f"{side}quant"), F.struct("transforms", "inverse").alias(f"{side}rule")), f"{side}quant")
@@ -172,13 +185,14 @@ def admit(stamps: DataFrame, lanes: DataFrame, routes_: DataFrame, rules: DataFr
     pairs = pairs.withColumn("reason", F.coalesce("q.reason", "l.reason")).withColumn("cost", F.col("route_cost") + F.col("q.tier") + F.col("l.tier"))
     exact = (F.col("hops") == 0) & (F.col("s_quant") == F.col("quant")) & (F.col("s_arrangement") == F.col("arrangement"))
     pairs = pairs.withColumn("exact", exact)
-    value = F.struct("lane", "exact", "cost", "hops", F.col("q.tier").alias("q"), "reason")
+    others = F.filter(F.array(F.nullif(F.col("q.step"), F.lit("none")), F.col("l.step")), lambda x: x.isNotNull())
+    value = F.struct("lane", "exact", "cost", "hops", F.greatest(F.col("q.tier"), F.col("l.tier"), F.col("worst")).alias("worst"), F.concat("steps", others).alias("steps"), "reason")
     order = F.struct(F.col("reason").isNotNull(), ~F.col("exact"), "cost", "lane_ord")
     best = stamps.select("artifact").join(pairs.groupBy("artifact").agg(F.min_by(value, order).alias("v")), "artifact", "left")
     good = F.col("v").isNotNull() & F.col("v.reason").isNull()
     return best.select(
         "artifact", F.when(good, F.col("v.lane")).alias("lane"), F.when(good, F.when(F.col("v.exact"), "admit").otherwise("derive")).otherwise("refuse").alias("decision"),
-        F.when(good, F.col("v.cost")).alias("cost"), F.when(good, F.col("v.hops")).alias("hops"), F.when(good, F.col("v.q") == 4).alias("lossy"), F.when(~good, F.coalesce(F.col("v.reason"), F.lit("no-bridge"))).alias("reason"),
+        F.when(good, F.col("v.cost")).alias("cost"), F.when(good, F.col("v.hops")).alias("hops"), F.when(good, F.col("v.steps")).alias("steps"), F.when(good, F.col("v.worst") == LOSSY).alias("lossy"), F.when(~good, F.coalesce(F.col("v.reason"), F.lit("no-bridge"))).alias("reason"),
     )
 
 

@@ -78,12 +78,19 @@ def _elements(shape: list[int], record: dict) -> int:
     return int(np.prod([evaluate(s["extent"], shape) for s in record["sub_axes"]]))
 
 
-def apply(values: Column, shape: list[int], record: dict) -> Column:
-    """The elements in storage order, padding 0; null if their number isn't the shape's."""
+def apply(values: Column, shape: list[int], record: dict, padding: Column | None = None) -> Column:
+    """The elements in storage order; null if their number isn't the shape's. Padding is 0, or ``padding`` where another type
+    of zero is wanted; without any, the type stays and null elements stay null."""
     if record["rank"] == 0:
         return values
     n, size = _elements(shape, record), int(np.prod(shape))
-    moved = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.when(source_index(i, shape, record) >= 0, F.get(values, source_index(i, shape, record).cast("int"))), F.lit(0)))
+    at = lambda i: source_index(i, shape, record)
+    element = lambda i: F.get(values, at(i).cast("int"))
+    if n > size:
+        zero = F.lit(0) if padding is None else padding
+        moved = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(at(i) >= 0, element(i)).otherwise(zero))
+    else:
+        moved = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), element)
     return F.when(F.size(values) == size, moved)
 
 

@@ -72,19 +72,19 @@ def grants(plan: DataFrame, sign: Callable[[str], str], seconds: int, now: Colum
     return plan.where("status = 'need'").withColumn("url", signed("key")).withColumn("expires_at", expiry)
 
 
-def promotion(plan: DataFrame, store: DataFrame) -> DataFrame:
+def promotion(plan: DataFrame, store: DataFrame, prefix: str = "staging") -> DataFrame:
     """(session, digest, state): ``ready``, ``absent``, ``size`` or ``checksum`` for each planned object against the store's
-    inventory; and ``undeclared`` for keys in the plan that aren't what the digest gives."""
+    inventory; and ``undeclared`` for keys in the plan that aren't what the digest gives under ``prefix``."""
     s = store.select(F.col("digest"), F.col("size").alias("stored"), *([F.col("checksum")] if "checksum" in store.columns else [F.col("digest").alias("checksum")]))
     rows = plan.join(s, "digest", "left")
-    bad_key = F.col("key").isNotNull() & (F.col("key") != object_key(ref(F.col("digest")), "staging"))
+    bad_key = F.col("key").isNotNull() & (F.col("key") != object_key(ref(F.col("digest")), prefix))
     state = F.when(bad_key, "undeclared").when(F.col("stored").isNull(), "absent").when(F.col("stored") != F.col("size"), "size").when(F.col("checksum") != F.col("digest"), "checksum").otherwise("ready")
     return rows.select("session", "digest", state.alias("state"))
 
 
-def promotion_report(plan: DataFrame, store: DataFrame) -> DataFrame:
+def promotion_report(plan: DataFrame, store: DataFrame, prefix: str = "staging") -> DataFrame:
     """(session, objects, ready, failed, complete)."""
-    p = promotion(plan, store)
+    p = promotion(plan, store, prefix)
     return p.groupBy("session").agg(F.count("*").alias("objects"), F.count_if(F.col("state") == "ready").alias("ready"), F.count_if(F.col("state") != "ready").alias("failed"), (F.count_if(F.col("state") != "ready") == 0).alias("complete"))
 
 

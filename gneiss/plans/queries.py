@@ -220,11 +220,11 @@ def mutation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, k AS "range", hex(encode(text)[k * 300 + 1 : least(k * 300 + 450, strlen(text))]) AS bytes
-FROM (SELECT doc_id, text, unnest(range(0, (strlen(text)::BIGINT + 299) // 300)) AS k FROM documents WHERE doc_id % 10 = 0)
+FROM (SELECT doc_id, text, unnest(range(0, (strlen(text)::BIGINT + 299) // 300)) AS k FROM documents)
 """)
 def range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every tenth file all ranges of 450 bytes, 300 apart, read over a grid of 1000 bytes."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
+    """Of every file all ranges of 450 bytes, 300 apart, read over a grid of 1000 bytes."""
+    d = table(spark, sf_dir, "documents")
     chunks = planning.hash_grid(d, ["doc_id"], 1000, "text").join(d.select("doc_id", "text"), "doc_id")
     chunks = chunks.withColumn("content", F.substr(F.col("text").cast("binary"), (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))).drop("text")
     n = F.octet_length("text").cast("long")
@@ -354,15 +354,20 @@ EDGES_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}', '{n}', {t})" for a, b, n, t
 
 
 def _routes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(decide.routes(EDGES), "source string, target string, steps array<string>, cost int").withColumn("hops", F.size("steps"))
+    return spark.createDataFrame(decide.routes(EDGES), "source string, target string, steps array<string>, cost int, worst int").withColumn("hops", F.size("steps"))
 
 
-@query(f"""
-WITH RECURSIVE w AS (SELECT a AS source, a AS target, []::VARCHAR[] AS steps, 0 AS cost FROM {EDGES_SQL} UNION SELECT w.source, e.b, list_append(w.steps, e.name), w.cost + e.tier FROM w JOIN {EDGES_SQL} ON e.a = w.target WHERE len(w.steps) < 6)
-SELECT source, target, min(len(steps))::INTEGER AS hops FROM w GROUP BY ALL
+@query("""
+WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation UNION SELECT n_nationkey, (n_nationkey + n_regionkey + 1) % 25 FROM nation),
+w AS (SELECT DISTINCT a AS source, a AS target, 0 AS hops FROM e UNION SELECT w.source, e.b, w.hops + 1 FROM w JOIN e ON e.a = w.target WHERE w.hops < 25)
+SELECT source::VARCHAR AS source, target::VARCHAR AS target, min(hops)::INTEGER AS hops FROM w GROUP BY ALL
 """)
 def route_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _routes(spark).select("source", "target", "hops")
+    """Nations as topologies, each with morphisms to two others; 25 rows, as a catalogue has few, so the search is the driver's."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name").collect()
+    edges = sorted({(str(r[0]), str(b), f"{r[2]}-{k}", k + 1) for r in n for k, b in enumerate(((r[0] * 7 + 3) % 25, (r[0] + r[1] + 1) % 25))})
+    found = [(a, b, len(steps)) for a, b, steps, *_ in decide.routes(edges)]
+    return spark.createDataFrame(found, "source string, target string, hops int")
 
 
 @query(f"""
@@ -394,13 +399,13 @@ SEAM = {"target": "{i}.qkv", "component": "", "groups": 1, "parts": [{"role": "q
 
 
 @query("""
-WITH p AS (SELECT p_partkey AS i, p_size AS n FROM part WHERE p_partkey % 7 <> 3)
+WITH p AS (SELECT p_partkey AS i, p_size AS n FROM part)
 SELECT i || '.qkv' AS target, [4 * n, 64]::BIGINT[] AS shape, CASE WHEN i % 5 = 0 THEN 'parts' WHEN i % 5 = 1 THEN 'inner' END AS reason FROM p WHERE i % 5 > 1
 UNION ALL SELECT i || '.qkv', CASE WHEN i % 5 = 0 THEN [2 * n, 64] ELSE [4 * n, 64] END::BIGINT[], CASE WHEN i % 5 = 0 THEN 'parts' ELSE 'inner' END FROM p WHERE i % 5 <= 1
 """)
 def fuse_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split projections fused; some lack a part, some differ in width."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 7 <> 3")
+    p = table(spark, sf_dir, "part")
     i, n = F.col("p_partkey"), F.col("p_size").cast("long")
     wide = F.when(i % 5 == 1, F.lit(32)).otherwise(F.lit(64)).cast("long")
     parts = F.array(F.struct(F.lit("q").alias("part"), F.array(n, F.lit(64).cast("long")).alias("shape")), F.struct(F.lit("k").alias("part"), F.array(n, wide).alias("shape")), F.struct(F.lit("v").alias("part"), F.array(2 * n, F.lit(64).cast("long")).alias("shape")))
@@ -503,10 +508,19 @@ def conversion_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.conversion_plan(tensors, layout).select("artifact", "name", "step")
 
 
-@query("SELECT inode, path FROM (VALUES (1, 'a'), (2, 'a/b'), (3, 'a/b/c'), (4, 'd'), (3, 'd/e')) t(inode, path)")
+@query("""
+WITH l AS (SELECT lang, min(doc_id) * 3 + 1 AS inode FROM documents GROUP BY lang), s AS (SELECT lang, source, min(doc_id) * 3 + 2 AS inode FROM documents GROUP BY ALL)
+SELECT inode, lang AS path FROM l UNION ALL SELECT inode, lang || '/' || source FROM s UNION ALL SELECT doc_id * 3 + 3, lang || '/' || source || '/' || doc_id FROM documents
+""")
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, "a", 1), (1, "b", 2), (2, "c", 3), (0, "d", 4), (4, "e", 3)]
-    return store.tree_paths(spark.createDataFrame(rows, "parent int, name string, inode int"))
+    """Directories by language and source, a file a document; only parents and names are given."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    langs = d.groupBy("lang").agg((F.min("doc_id") * 3 + 1).alias("up"))
+    sources = d.groupBy("lang", "source").agg((F.min("doc_id") * 3 + 2).alias("inode"))
+    root = langs.select(F.lit(0).cast("long").alias("parent"), F.col("lang").alias("name"), F.col("up").alias("inode"))
+    middle = sources.join(langs, "lang").select(F.col("up").alias("parent"), F.col("source").alias("name"), "inode")
+    leaves = d.join(sources, ["lang", "source"]).select(F.col("inode").alias("parent"), F.col("doc_id").cast("string").alias("name"), (F.col("doc_id") * 3 + 3).alias("inode"))
+    return store.tree_paths(root.unionByName(middle).unionByName(leaves))
 
 
 # ---- runs, records, lanes
@@ -575,6 +589,6 @@ def rekeyed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.rekeyed(p, names, ["artifact"]).where("reason is null").select("artifact", "name", "source")
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """What a publisher of the documents has and needs."""
-    return have_need_plan(spark, "/root/testdata/sf0.001")
+    return have_need_plan(spark, sf_dir)

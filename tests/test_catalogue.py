@@ -36,7 +36,7 @@ def test_catalogue_from_files(spark, tmp_path):
     layouts = catalog.layouts(spark, docs)
     headers = spark.createDataFrame([("a", "m", n, k, "BF16", s) for n, (k, s) in enumerate([("b.0.qkv", [64, 16]), ("m", [4])])], "artifact string, member string, ord int, name string, dtype string, shape array<bigint>")
     assert decide.stamp(headers, layouts).first().layout == "x.fused@1+plain.bf16@1"
-    routes = {(a, b): steps for a, b, steps, _ in decide.routes(catalog.edges(docs))}
+    routes = {(a, b): steps for a, b, steps, *_ in decide.routes(catalog.edges(docs))}
     assert routes["x.fused@1", "x.split@1"] == ["x.fuse-inverse"]
     (tmp_path / "bad.json").write_text('{"format": "r", "format": "r"}')
     with pytest.raises(Refused, match="duplicate-key"):
