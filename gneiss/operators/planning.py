@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from gneiss.functions.idents import digest
 from gneiss.operators.morphisms import pattern_regex
+from gneiss.operators.ordered import running
 
 GRID = 64 << 20
 SEAM_FLOOR = 1 << 20
@@ -43,9 +44,8 @@ def hash_grid(files: DataFrame, keys: list[str], step: int = GRID, content: str
 def coverage_refusals(regions: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, reason) of the files whose regions don't cover them: ``start``, ``gap``, ``overlap``, ``empty``, ``size``, in
     this order."""
-    w = Window.partitionBy(*keys).orderBy("offset", "length")
-    before = F.coalesce(F.lag(F.col("offset") + F.col("length")).over(w), F.lit(0))
-    rows = regions.withColumn("before", before).withColumn("first", F.row_number().over(w) == 1)
+    rows = running(regions, keys, ["offset", "length"], {"place": F.lit(1)}, {"before": F.col("offset") + F.col("length")})
+    rows = rows.withColumn("before", F.coalesce("before", F.lit(0))).withColumn("first", F.col("place") == 0)
     why = (
         F.when(F.col("first") & (F.col("offset") != 0), 1).when(F.col("offset") > F.col("before"), 2).when(F.col("offset") < F.col("before"), 3).when(F.col("length") <= 0, 4)
     )

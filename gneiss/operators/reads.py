@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from gneiss.operators.ordered import running
 
 
 def read_ranges(ranges: DataFrame, chunks: DataFrame, keys: list[str], step: int) -> DataFrame:
@@ -41,8 +42,7 @@ def rekeyed(tensors: DataFrame, names: DataFrame, keys: list[str], total: bool =
 def subset(tensors: DataFrame, wanted: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """The named tensors in the order of their data, with their new places; and the names that aren't there."""
     kept = tensors.join(wanted.select(*keys, "name").distinct(), [*keys, "name"], "left_semi")
-    w = Window.partitionBy(*keys).orderBy("offset", "name").rowsBetween(Window.unboundedPreceding, -1)
-    placed = kept.withColumn("new_offset", F.coalesce(F.sum("length").over(w), F.lit(0)))
+    placed = running(kept, keys, ["offset", "name"], {"new_offset": F.col("length")})
     return placed, wanted.select(*keys, "name").join(tensors.select(*keys, "name"), [*keys, "name"], "left_anti")
 
 

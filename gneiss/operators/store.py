@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gneiss.functions.idents import digest
+from gneiss.operators.ordered import checkpoint, running
 
 
 def admit(objects: DataFrame, resident: DataFrame | None = None) -> DataFrame:
@@ -87,15 +87,13 @@ def orphans(entries: DataFrame, keys: list[str]) -> DataFrame:
 
 def ordinals(entries: DataFrame, keys: list[str]) -> DataFrame:
     """Regular files numbered from 0 in the order of their paths."""
-    w = Window.partitionBy(*keys).orderBy("path")
-    return entries.where("kind = 'file'").select(*keys, "path", (F.row_number().over(w) - 1).alias("ordinal"))
+    return running(entries.where("kind = 'file'").select(*keys, "path"), keys, ["path"], {"ordinal": F.lit(1)})
 
 
 def record_refusals(records: DataFrame, sizes: DataFrame, keys: list[str], most: int = 64 << 20) -> DataFrame:
     """(keys, reason) of record runs (ord, hole, length): too many, an empty one, holes side by side, data over the bound, a
     sum that isn't the file's size."""
-    w = Window.partitionBy(*keys).orderBy("ord")
-    rows = records.withColumn("before", F.lag("hole").over(w))
+    rows = running(records, keys, ["ord"], lags={"before": F.col("hole")})
     why = F.when(F.col("length") <= 0, 2).when(F.col("hole") & F.coalesce("before", F.lit(False)), 3).when(~F.col("hole") & (F.col("length") > most), 4)
     agg = rows.groupBy(*keys).agg(F.min(why).alias("why"), F.count("*").alias("n"), F.sum("length").alias("total"))
     reason = F.when(F.col("n") > 1_000_000, "count").otherwise(F.get(F.array(*map(F.lit, ("", "zero-length", "adjacent-holes", "record-size"))), F.col("why") - 1))
@@ -106,8 +104,7 @@ def record_refusals(records: DataFrame, sizes: DataFrame, keys: list[str], most:
 def truncate(records: DataFrame, keys: list[str], size: Column) -> DataFrame:
     """Record runs (ord, hole, digest, length) cut or extended to ``size``: a hole shrinks or is added at the end; ``reason``
     is ``inside-data`` where the cut falls into data."""
-    w = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    rows = records.withColumn("goal", size).withColumn("start", F.coalesce(F.sum("length").over(w), F.lit(0)))
+    rows = running(records, keys, ["ord"], {"start": F.col("length")}).withColumn("goal", size)
     kept = rows.where("start < goal").withColumn("cut", F.least(F.col("length"), F.col("goal") - F.col("start")))
     reason = F.when(~F.col("hole") & (F.col("cut") < F.col("length")), "inside-data")
     body = kept.select(*keys, "ord", "hole", "digest", F.col("cut").alias("length"), reason.alias("reason"))
@@ -125,7 +122,8 @@ def tree_paths(dirents: DataFrame) -> DataFrame:
     out = level
     while not level.isEmpty():
         step = dirents.select(F.col("parent").alias("up"), "name", F.col("inode").alias("to"))
-        level = level.join(step, F.col("inode") == F.col("up")).select(F.col("to").alias("inode"), F.concat_ws("/", "path", "name").alias("path")).checkpoint()
+        level = level.join(step, F.col("inode") == F.col("up")).select(F.col("to").alias("inode"), F.concat_ws("/", "path", "name").alias("path"))
+        level = checkpoint(level)
         out = out.unionByName(level)
     return out
 

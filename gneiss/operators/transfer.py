@@ -10,9 +10,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gneiss.functions.idents import object_key, ref
+from gneiss.operators.ordered import checkpoint, running
 
 MOST_FILES, MOST_OBJECTS, MOST_OBJECT, MOST_TOTAL = 100_000, 200_000, 512 << 30, 4 << 40
 PACK_BYTES, PACK_ROWS = 64 << 20, 1_000_000
@@ -90,15 +90,13 @@ def promotion_report(plan: DataFrame, store: DataFrame, prefix: str = "staging")
 
 def closure(declared: DataFrame) -> DataFrame:
     """(session, digest, size, ord): the unique objects in canonical order, by first appearance."""
-    w = Window.partitionBy("session").orderBy("ord", "digest")
-    return distinct_objects(declared).withColumn("ord", F.row_number().over(w) - 1)
+    return running(distinct_objects(declared), ["session"], ["ord", "digest"], {"at": F.lit(1)}).withColumn("ord", F.col("at")).drop("at")
 
 
 def missing_refusals(canonical: DataFrame, missing: DataFrame) -> DataFrame:
     """(session, reason): a missing list that isn't an order-preserving part of the closure with equal sizes."""
     m = missing.withColumnRenamed("size", "said").withColumnRenamed("ord", "place").join(canonical.select("session", "digest", "size", "ord"), ["session", "digest"], "left")
-    w = Window.partitionBy("session").orderBy("place")
-    m = m.withColumn("before", F.lag("ord").over(w))
+    m = running(m, ["session"], ["place"], lags={"before": F.col("ord")})
     why = F.when(F.col("ord").isNull(), 1).when(F.col("said") != F.col("size"), 2).when(F.col("ord") <= F.col("before"), 3)
     out = m.groupBy("session").agg(F.min(why).alias("why")).where("why is not null")
     return out.select("session", F.get(F.array(*map(F.lit, ("unknown", "size", "order"))), F.col("why") - 1).alias("reason"))
@@ -146,8 +144,10 @@ def push(plan: DataFrame, send: Callable[[pd.DataFrame], pd.DataFrame], rounds:
         n = count
         if n == 0 or stalled >= rounds:
             return left, n
-        done = left.select("session", "digest", "size", "key").mapInPandas(lambda frames: (send(f) for f in frames), "session string, digest string, sent boolean").where("sent").checkpoint()
-        left = left.join(done.select("session", "digest"), ["session", "digest"], "left_anti").checkpoint()
+        done = left.select("session", "digest", "size", "key").mapInPandas(lambda frames: (send(f) for f in frames), "session string, digest string, sent boolean").where("sent")
+        done = checkpoint(done)
+        left = left.join(done.select("session", "digest"), ["session", "digest"], "left_anti")
+        left = checkpoint(left)
 
 
 def pull(closure_: DataFrame, resident: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import dtypes, idents, shapes
 from gneiss.functions.floats import bf16, e4m3
-from gneiss.operators import convert, decide, morphisms, planning, reads, relayout, rules, store, topology, transfer
+from gneiss.operators import convert, decide, morphisms, ordered, planning, reads, relayout, rules, store, topology, transfer
 from gneiss.plans import queries
 from gneiss.streaming import epochs
 
@@ -18,6 +18,24 @@ def values(df, *cols):
     return sorted((tuple(tuple(v) if isinstance(v, list) else v for v in (r[c] for c in cols)) for r in df.select(*cols).collect()), key=str)
 
 
+# ---- sorted groups
+
+
+def test_running_sums_match_brute_force(spark):
+    """One group with most rows over many partitions, one with null for its key, values that are null."""
+    rng = np.random.default_rng(7)
+    rows = [("hot" if i % 3 else [None, "a", "b"][i % 2 + (i % 4 == 0) * (i % 2 == 0)], int(o), None if i % 11 == 0 else int(rng.integers(0, 9)), "x") for i, o in enumerate(rng.permutation(3000))]
+    df = spark.createDataFrame(rows, "k string, ord long, v long, place string").repartition(7)
+    got = ordered.running(df, ["k"], ["ord"], {"n": F.lit(1), "total": F.col("v")}, {"last": F.col("v")})
+    want, state = [], {}
+    for k, o, v, p in sorted(rows, key=lambda r: r[1]):
+        n, total, last = state.get(k, (0, 0, None))
+        want.append((k, o, v, p, n, total, last))
+        state[k] = n + 1, total + (v or 0), v
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert ordered.running(df.limit(0), ["k"], ["ord"], {"n": F.lit(1)}).count() == 0
+
+
 # ---- names and shapes
 
 
