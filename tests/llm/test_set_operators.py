@@ -56,12 +56,22 @@ def test_top_k_of_large_numbers_and_of_nothing(spark):
     assert vafile.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_cells_spare_exact_reads(spark):
+def test_bounds_hold_and_spare_exact_reads():
     rng = np.random.default_rng(2)
     x = np.floor(256 * rng.normal(0, 0.12, (4000, 32)))
-    s = vafile.Search(np.arange(20), x[:20], 5, 3)
-    s.add(np.arange(4000), x)
-    assert s.read < 0.2 * 20 * 4000
+    shift = np.full(4000, 3)
+    cells = np.floor(x / 8).astype(np.int8)
+    upper, lower = vafile.bounds(x[:20], cells, shift)
+    score = x[:20] @ x.T
+    assert (lower <= score).all() and (score <= upper).all()
+    c = vafile.Candidates(np.arange(20), x[:20], 5)
+    c.add(np.arange(4000), np.arange(4000), cells, shift)
+    assert c.prune()[0].size < 0.2 * 20 * 4000
+    large = np.floor(rng.normal(0, 1e25, (200, 9)))
+    s = np.maximum(2, np.frexp(np.abs(large).max(1) / 127)[1])
+    upper, lower = vafile.bounds(large[:5], np.floor(large / np.exp2(s)[:, None]).astype(np.int8), s)
+    true = np.array([[max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(u, v)))) for v in large] for u in large[:5]], dtype=float)
+    assert (lower <= true).all() and (true <= upper).all()
 
 
 # ---- Jaccard join
