@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,79 @@ def conversion_plan(tensors: DataFrame, layout: DataFrame) -> DataFrame:
     return rows.select("artifact", "component", "name", step.alias("step"), reason.alias("reason"))
 
 
+def decode(content: bytes, dtype: str) -> np.ndarray:
+    """The numbers that bytes of a plain type say, as doubles."""
+    if dtype == "BF16":
+        return (np.frombuffer(content, "<u2").astype(np.uint32) << 16).view(np.float32).astype(np.float64)
+    return np.frombuffer(content, {"F64": "<f8", "F32": "<f4", "F16": "<f2"}[dtype]).astype(np.float64)
+
+
+def encode(values: np.ndarray, dtype: str) -> bytes:
+    """The bytes of numbers in a plain type, rounded to the nearest, ties to even."""
+    if dtype == "BF16":
+        bits = values.astype("<f4").view(np.uint32)
+        rounded = ((bits + np.uint32(0x7FFF) + ((bits >> np.uint32(16)) & np.uint32(1))) >> np.uint32(16)).astype("<u2")
+        return np.where(np.isnan(values), np.uint16(0x7FC0), rounded).astype("<u2").tobytes()
+    with np.errstate(over="ignore"):
+        return values.astype({"F64": "<f8", "F32": "<f4", "F16": "<f2"}[dtype]).tobytes()
+
+
+def _e4m3_values() -> np.ndarray:
+    code = np.arange(127)
+    e, m = code >> 3, code & 7
+    return np.where(e == 0, m * 2.0**-9, (1 + m / 8) * 2.0 ** (e - 7.0))
+
+
+E4M3_VALUES = _e4m3_values()  # of the codes 0 to 126; 127 is NaN, and 128 more the negative ones
+
+
+def e4m3_codes(values: np.ndarray) -> np.ndarray:
+    """The 8-bit codes of numbers, as ``floats.e4m3`` rounds them."""
+    m = np.minimum(np.where(np.isnan(values), 448.0, np.abs(values)), 448.0)
+    high = np.minimum(np.searchsorted(E4M3_VALUES, m), 126)
+    low = np.maximum(high - 1, 0)
+    a, b = m - E4M3_VALUES[low], E4M3_VALUES[high] - m
+    code = np.where((a < b) | ((a == b) & (low % 2 == 0)), low, high)
+    code = np.where((m < 0.015625) & (code > 7), 7, code)
+    return (code + np.where(values < 0, 128, 0)).astype(np.uint8)
+
+
+def quantise_bytes(content: bytes, dtype: str, rows: int) -> tuple[bytes, bytes]:
+    """The codes and the scales (F32) of a matrix's bytes, row by row."""
+    x = decode(content, dtype).reshape(rows, -1)
+    scale = np.maximum(np.nanmax(np.where(np.isnan(x), 0, np.abs(x)), 1, initial=0) / 448.0, 1e-12)
+    return e4m3_codes(x / scale[:, None]).tobytes(), scale.astype("<f4").tobytes()
+
+
+def convert_tree(tensors: DataFrame, plan: DataFrame, target: str = "BF16") -> DataFrame:
+    """The tensors of a converted tree, as ``writer.compose`` takes them: of tensors (artifact, component, ord, name, dtype,
+    shape, records, content) and their plan (``conversion_plan``), those to inherit with their records, cast ones as bytes of
+    ``target``, quantised ones as codes with a tensor of scales after them. A tensor that the plan refuses, or whose bytes
+    to be converted aren't there, is left out, with its reason in ``refused`` (content null, records null)."""
+    rows = tensors.join(plan.select("artifact", "component", "name", "step", "reason"), ["artifact", "component", "name"])
+
+    def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples():
+                shape = [int(d) for d in r.shape]
+                if r.step in ("cast", "quantize-rowwise") and r.content is None:
+                    out.append((r.artifact, 2 * r.ord, r.name, r.dtype, shape, None, "no-bytes"))
+                elif r.step == "cast":
+                    out.append((r.artifact, 2 * r.ord, r.name, target, shape, encode(decode(bytes(r.content), r.dtype), target), None))
+                else:
+                    codes, scale = quantise_bytes(bytes(r.content), r.dtype, shape[0])
+                    out.append((r.artifact, 2 * r.ord, r.name, "F8_E4M3", shape, codes, None))
+                    out.append((r.artifact, 2 * r.ord + 1, f"{r.name}_scale", "F32", shape[:1], scale, None))
+            yield pd.DataFrame(out, columns=["artifact", "ord", "name", "dtype", "shape", "content", "refused"])
+
+    kind = tensors.schema["records"].dataType
+    made = rows.where("step in ('cast', 'quantize-rowwise')").select("artifact", F.col("ord").cast("long").alias("ord"), "name", "dtype", "shape", "content", "step")
+    made = made.mapInPandas(f, "artifact string, ord long, name string, dtype string, shape array<bigint>, content binary, refused string").withColumn("records", F.lit(None).cast(kind))
+    rest = rows.where("step is null or step = 'inherit'").select("artifact", (F.col("ord") * 2).cast("long").alias("ord"), "name", "dtype", "shape", F.lit(None).cast("binary").alias("content"), F.col("reason").alias("refused"), F.when(F.col("reason").isNull(), F.col("records")).alias("records"))
+    return made.unionByName(rest)
+
+
 def quantise_rows(rows: DataFrame, values: str = "values") -> DataFrame:
     """Adds scale and codes (decoded) of each row's values: value / scale rounded to 8 bits."""
     scaled = rows.withColumn("scale", rowwise_scale(F.col(values)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs as arrow_fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions.idents import digest
@@ -18,6 +20,60 @@ def admit(objects: DataFrame, resident: DataFrame | None = None) -> DataFrame:
     return rows if resident is None else rows.join(resident.select("digest"), "digest", "left_anti")
 
 
+def admit_regions(files: DataFrame, regions: DataFrame, keys: list[str], resident: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The regions (keys, ord, offset, length) of files (keys, content) with their digests, and the objects that the store
+    doesn't hold yet; each region is read where its file lies, on its own."""
+    piece = F.substr(F.col("content").cast("binary"), (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))
+    cut = regions.join(files.select(*keys, "content"), keys).withColumn("content", piece)
+    named = cut.select(*keys, "ord", "offset", "length", digest(F.col("content")).alias("digest"))
+    return named, admit(cut.select("content"), resident)
+
+
+def object_files(spark: SparkSession, path: str) -> DataFrame:
+    """(digest, length, path) of the objects in a folder that are well named (two folders of two digits, then the digest);
+    their content isn't read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("length"))
+    name = F.regexp_extract("path", "/([0-9a-f]{2})/([0-9a-f]{2})/(\\1\\2[0-9a-f]{60})$", 3)
+    return listed.withColumn("digest", name).where("digest <> ''").select("digest", "length", "path")
+
+
+def remove_objects(spark: SparkSession, path: str, garbage: DataFrame, marks: DataFrame) -> DataFrame:
+    """Deletes the files of ``garbage`` (digest) that no mark (digest) reaches, where the executors find them; (digest,
+    removed). An object that is gone already counts as removed, so a repeated task does no harm."""
+    found = object_files(spark, path).join(garbage.select("digest").distinct(), "digest").join(marks.select("digest").distinct(), "digest", "left_anti")
+
+    def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for p in pdf["path"]:
+                fs, at = arrow_fs.FileSystem.from_uri(p)
+                if fs.get_file_info(at).type != arrow_fs.FileType.NotFound:
+                    fs.delete_file(at)
+            yield pdf[["digest"]].assign(removed=True)
+
+    return found.select("digest", "path").mapInPandas(f, "digest string, removed boolean")
+
+
+def reap(spark: SparkSession, path: str, older_than: float, leased: DataFrame) -> DataFrame:
+    """(path, reaped): temporary files in a folder that were last changed ``older_than`` seconds ago or before and whose path
+    isn't ``leased`` (path) are deleted; the age is looked at again where the file is."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime")
+    old = listed.where(F.col("modificationTime") <= F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(older_than)))).join(leased.select("path"), "path", "left_anti")
+
+    def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            gone = []
+            for p in pdf["path"]:
+                fs, at = arrow_fs.FileSystem.from_uri(p)
+                info = fs.get_file_info(at)
+                due = info.type == arrow_fs.FileType.File and info.mtime.timestamp() <= time.time() - older_than
+                if due:
+                    fs.delete_file(at)
+                gone.append(due)
+            yield pdf[["path"]].assign(reaped=gone)
+
+    return old.select("path").mapInPandas(f, "path string, reaped boolean")
+
+
 def corrupt(objects: DataFrame) -> DataFrame:
     """Objects whose bytes aren't what their name says."""
     return objects.where(digest(F.col("content")) != F.col("digest"))
@@ -133,12 +189,14 @@ def carriers(paths: DataFrame) -> DataFrame:
     return paths.groupBy("inode").agg(F.min("path").alias("path"))
 
 
-MUTATIONS = ("put", "remove", "rename", "mkdir", "truncate", "link")
+MUTATIONS = ("put", "remove", "rename", "mkdir", "truncate", "link", "records", "rmdir", "symlink", "chmod")
 
 
 def fold_mutations(log: DataFrame) -> DataFrame:
     """(workspace, path, value, generation, reason) after an ordered log (workspace, ord, op, path, arg): the tree of each
-    workspace. Order decides, so a workspace's log is folded row by row as it streams by, sorted."""
+    workspace. Order decides, so a workspace's log is folded row by row as it streams by, sorted. A directory has no value, a
+    symbolic link has ``@`` and its target, an executable file's value ends in ``*``. ``records`` replaces a file that is there,
+    ``rmdir`` takes an empty directory, ``chmod`` sets (arg ``x``) or clears the mark of a file."""
 
     def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict[str, object] = {}
@@ -170,6 +228,20 @@ def fold_mutations(log: DataFrame) -> DataFrame:
                     ok = path in state
                     if ok:
                         state[path] = f"{state[path]}[:{arg}]"
+                elif op == "rmdir":
+                    ok = path in state and state[path] is None and not any(p.startswith(f"{path}/") for p in state)
+                    if ok:
+                        del state[path]
+                elif op == "symlink":
+                    ok = path not in state
+                    if ok:
+                        state[path] = f"@{arg}"
+                elif op in ("records", "chmod"):
+                    old = state.get(path)
+                    ok = isinstance(old, str) and not old.startswith("@")
+                    if ok:
+                        marked = arg == "x" if op == "chmod" else old.endswith("*")
+                        state[path] = (old.rstrip("*") if op == "chmod" else str(arg)) + "*" * marked
                 else:
                     ok = False
                 generation += ok

@@ -6,12 +6,15 @@ A new container is a header object and, for each tensor, either the records it i
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.operators import relayout
+from gneiss.operators.fill import gather
 from gneiss.operators.planning import GRID
 from gneiss.sources.safetensors import Refused, write_header
 
@@ -74,6 +77,27 @@ def compose(tensors: DataFrame) -> DataFrame:
     return tensors.groupBy("artifact").applyInPandas(build, FILE)
 
 
+def derive(tensors: DataFrame, record: dict) -> DataFrame:
+    """The container of tensors (artifact, ord, name, dtype, shape, item, records, content) in another arrangement, as records:
+    in their own they are inherited, otherwise their bytes are moved, and ``content`` has to be there."""
+    if why := relayout.record_refusal(record):
+        raise Refused(why)
+    kept = ["artifact", "ord", "name", "dtype", "shape"]
+    if record["rank"] == 0:
+        return compose(tensors.select(*kept, "records", F.lit(None).cast("binary").alias("content")))
+
+    def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            moved = [gather(bytes(c), [int(d) for d in s], record, int(i)) if len(s) == record["rank"] else None for c, s, i in zip(pdf["content"], pdf["shape"], pdf["item"])]
+            yield pdf[kept].assign(content=moved)
+
+    kinds = ", ".join(f"{c} {tensors.schema[c].dataType.simpleString()}" for c in kept)
+    moved = tensors.select(*kept, "item", "content").mapInPandas(f, f"{kinds}, content binary").withColumn("storage", relayout.plan(F.col("shape"), record)["storage"])
+    other = moved.where("content is null").select(*kept).join(tensors.select("artifact", "name", "records"), ["artifact", "name"]).withColumn("content", F.lit(None).cast("binary"))
+    done = moved.where("content is not null").select("artifact", "ord", "name", "dtype", F.col("storage").alias("shape"), F.lit(None).cast(tensors.schema["records"].dataType).alias("records"), "content")
+    return compose(done.unionByName(other))
+
+
 def shared(old: DataFrame, new: DataFrame) -> DataFrame:
     """(artifact, objects, shared, bytes, shared_bytes): how much of a new container its artifact held already."""
     had = old.select("artifact", "digest").distinct().withColumn("had", F.lit(True))

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.functions import dtypes, idents, shapes
-from gneiss.functions.floats import bf16, e4m3
-from gneiss.operators import convert, decide, morphisms, ordered, planning, reads, relayout, rules, store, topology, transfer
+from gneiss.functions.floats import bf16, e4m3, f16
+from gneiss.operators import convert, decide, morphisms, ordered, planning, reads, relayout, rules, store, topology, transfer, writer
 from gneiss.plans import queries
 from gneiss.streaming import epochs
 
@@ -286,3 +286,80 @@ def test_epochs_as_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert values(spark.table("epochs"), "digest", "epoch", "action") == sorted([("a", 0, "reference"), ("b", 0, "reference"), ("b", 2, "rescue"), ("b", 4, "rescue"), ("a", 6, "readmit")], key=str)
+
+
+# ---- bytes of conversions, derived containers, objects as files
+
+
+def test_codes_match_the_columns(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, s, 300) for s in (1e-4, 0.01, 1, 300)] + [[0.0, -0.0, 448, 464, 1e9, -1e9, 2**-9, 2**-10, 0.0155, 17, 17.0625]])
+    codes = convert.e4m3_codes(x)
+    decoded = np.where(codes > 127, -1, 1) * convert.E4M3_VALUES[codes & 127]
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(e4m3(F.col("x"))).collect()]
+    assert np.array_equal(decoded, np.array(want))
+    for dtype, kernel in (("BF16", bf16), ("F16", f16)):
+        y = x[np.abs(x) < 6e4]
+        want = [r[0] for r in spark.createDataFrame([(float(np.float32(v)),) for v in y], "x double").select(kernel(F.col("x"))).collect()]
+        assert np.array_equal(convert.decode(convert.encode(np.float32(y).astype(float), dtype), dtype), np.array(want))
+
+
+def test_converted_tree(spark):
+    w = np.random.default_rng(1).normal(0, 1, (2, 16)).astype("<f4")
+    rec = [("ab" * 32, 8)]
+    tensors = spark.createDataFrame(
+        [("t", "c", 0, "q.weight", "F32", [2, 16], rec, w.tobytes()), ("t", "c", 1, "b", "F32", [4], rec, np.arange(4, dtype="<f4").tobytes()), ("t", "c", 2, "k", "BF16", [4], rec, None), ("t", "c", 3, "bad", "F32", [4], rec, b"x"), ("t", "c", 4, "far", "F32", [4], rec, None)],
+        "artifact string, component string, ord int, name string, dtype string, shape array<bigint>, records array<struct<digest:string,len:bigint>>, content binary",
+    )
+    plan = spark.createDataFrame([("t", "c", n, s, r) for n, s, r in (("q.weight", "quantize-rowwise", None), ("b", "cast", None), ("k", "inherit", None), ("bad", None, "shape"), ("far", "cast", None))], "artifact string, component string, name string, step string, reason string")
+    got = {r.name: r for r in convert.convert_tree(tensors, plan).collect()}
+    assert sorted(got) == ["b", "bad", "far", "k", "q.weight", "q.weight_scale"]
+    assert got["b"].dtype == "BF16" and convert.decode(bytes(got["b"].content), "BF16").tolist() == [0, 1, 2, 3]
+    assert got["bad"].refused == "shape" and got["far"].refused == "no-bytes" and got["k"].records[0].len == 8
+    codes = np.frombuffer(bytes(got["q.weight"].content), np.uint8)
+    scale = np.frombuffer(bytes(got["q.weight_scale"].content), "<f4")
+    back = (np.where(codes > 127, -1, 1) * convert.E4M3_VALUES[codes & 127]).reshape(2, 16) * scale[:, None]
+    assert np.abs(back - w).max() < 0.07 * np.abs(w).max() and got["q.weight_scale"].ord == 1
+    file = writer.compose(convert.convert_tree(tensors, plan).where("refused is null").drop("refused")).collect()
+    assert sum(r.fresh for r in file) == 4 and any(r.digest == "ab" * 32 for r in file)
+
+
+def test_derived_container(spark):
+    rows = [("t", 0, "m", "U8", [2, 3], 1, [("cd" * 32, 6)], bytes(range(6))), ("t", 1, "v", "U8", [3], 1, [("ef" * 32, 3)], bytes(3))]
+    t = spark.createDataFrame(rows, "artifact string, ord int, name string, dtype string, shape array<bigint>, item int, records array<struct<digest:string,len:bigint>>, content binary")
+    same = writer.derive(t, relayout.IDENTITY).collect()
+    assert [r.digest for r in sorted(same, key=lambda r: r.ord)][1:] == ["cd" * 32, "ef" * 32]
+    moved = sorted(writer.derive(t, queries.TRANSPOSED).collect(), key=lambda r: r.ord)
+    assert bytes(moved[1].content) == bytes([0, 3, 1, 4, 2, 5]) and moved[2].digest == "ef" * 32
+
+
+def test_objects_as_files(spark, tmp_path):
+    a, b = (__import__("hashlib").sha256(x).hexdigest() for x in (b"one", b"two"))
+    for d, x in ((a, b"one"), (b, b"two")):
+        at = tmp_path / "objects" / d[:2] / d[2:4]
+        at.mkdir(parents=True)
+        (at / d).write_bytes(x)
+    (tmp_path / "objects" / "stray").write_bytes(b"x")
+    path = f"file://{tmp_path}/objects"
+    assert values(store.object_files(spark, path), "digest", "length") == sorted([(a, 3), (b, 3)])
+    both = spark.createDataFrame([(a,), (b,)], "digest string")
+    assert values(store.remove_objects(spark, path, both, both.where(F.col("digest") == a)), "digest") == [(b,)]
+    assert values(store.object_files(spark, path), "digest") == [(a,)]
+    none = spark.createDataFrame([], "path string")
+    assert store.reap(spark, path, 3600, none).count() == 0
+    assert len(store.reap(spark, path, 0, none).where("reaped").collect()) == 2 and store.object_files(spark, path).count() == 0
+
+
+def test_regions_are_admitted(spark):
+    files = spark.createDataFrame([("f", b"aabbaa")], "path string, content binary")
+    regions = spark.createDataFrame([("f", k, 2 * k, 2) for k in range(3)], "path string, ord int, offset long, length long")
+    named, fresh = store.admit_regions(files, regions, ["path"])
+    assert len({r.digest for r in named.collect()}) == 2 and sorted(bytes(r.content) for r in fresh.collect()) == [b"aa", b"bb"]
+    assert store.admit_regions(files, regions, ["path"], fresh.where("content = cast('aa' as binary)"))[1].count() == 1
+
+
+def test_all_kinds_of_mutations(spark):
+    log = [("mkdir", "d", None), ("put", "d/f", "1"), ("rmdir", "d", None), ("symlink", "l", "d/f"), ("symlink", "l", "x"), ("chmod", "d/f", "x"), ("records", "d/f", "2"), ("records", "no", "2"), ("chmod", "l", "x"), ("mkdir", "e", None), ("rmdir", "e", None)]
+    got = store.fold_mutations(spark.createDataFrame([("w", k, *x) for k, x in enumerate(log)], "workspace string, ord int, op string, path string, arg string"))
+    assert {(r.path, r.value) for r in got.collect()} == {("d", None), ("d/f", "2*"), ("l", "@d/f")}
+    assert {(r.generation, r.refused) for r in got.collect()} == {(7, 4)}
