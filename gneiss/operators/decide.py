@@ -122,6 +122,34 @@ def stamp_all(headers: DataFrame, layouts: DataFrame) -> DataFrame:
     return match_layouts(headers, layouts, pairs).where("reason is null").select("artifact", "layout")
 
 
+def closest_lane(headers: DataFrame, layouts: DataFrame, lanes: list[str]) -> DataFrame:
+    """(artifact, layout, matched, reason, component, tensor): of the lanes' layouts that an artifact's headers aren't, the one
+    that matched most, the first of equal ones, with its disagreement; artifacts that are all of the lanes have no row."""
+    pairs = headers.select("artifact").distinct().withColumn("layout", F.explode(F.array(*map(F.lit, lanes))))
+    place = F.array_position(F.array(*map(F.lit, lanes)), F.col("layout"))
+    refused = match_layouts(headers, layouts, pairs).where("reason is not null")
+    best = refused.groupBy("artifact").agg(F.max_by(F.struct("layout", "matched", "reason", "component", "tensor"), F.struct(F.col("matched"), -place)).alias("v"))
+    return best.select("artifact", "v.*")
+
+
+def admit_files(headers: DataFrame, layouts: DataFrame, stamps: DataFrame, admitted: DataFrame, lanes: list[str]) -> DataFrame:
+    """(artifact, lane, decision, reason, closest, component, tensor, note): what ``admit`` says of stamped artifacts, and for
+    those it found no way for, or that have no stamp, the closest lane's disagreement; ``note`` is the stamp that an unrelated
+    one has. Without lanes all are refused with ``no-lane``. ``stamps`` is the result of ``stamp``."""
+    every = headers.select("artifact").distinct()
+    empty = F.lit(None).cast("string")
+    if not lanes:
+        return every.select("artifact", empty.alias("lane"), F.lit("refuse").alias("decision"), F.lit("no-lane").alias("reason"), empty.alias("closest"), empty.alias("component"), empty.alias("tensor"), empty.alias("note"))
+    rows = every.join(stamps.select("artifact", F.col("layout").alias("stamp"), F.col("reason").alias("unstamped")), "artifact", "left").join(admitted.select("artifact", "lane", "decision", F.col("reason").alias("why")), "artifact", "left")
+    open_ = F.col("stamp").isNull() | (F.col("why") == "no-bridge")
+    near = closest_lane(headers, layouts, lanes).select("artifact", F.col("layout").alias("closest"), F.col("reason").alias("near"), "component", "tensor")
+    rows = rows.join(near, "artifact", "left")
+    return rows.select(
+        "artifact", F.when(F.col("stamp").isNotNull(), F.col("lane")).alias("lane"), F.when(F.col("stamp").isNull(), "refuse").otherwise(F.coalesce("decision", F.lit("refuse"))).alias("decision"),
+        F.when(open_, F.coalesce("near", "unstamped", F.lit("unrelated"))).otherwise(F.col("why")).alias("reason"), *(F.when(open_, F.col(c)).alias(c) for c in ("closest", "component", "tensor")), F.when(F.col("why") == "no-bridge", F.col("stamp")).alias("note"),
+    )
+
+
 LOSSY = 4  # the tier of what can't be undone
 
 

@@ -363,3 +363,18 @@ def test_all_kinds_of_mutations(spark):
     got = store.fold_mutations(spark.createDataFrame([("w", k, *x) for k, x in enumerate(log)], "workspace string, ord int, op string, path string, arg string"))
     assert {(r.path, r.value) for r in got.collect()} == {("d", None), ("d/f", "2*"), ("l", "@d/f")}
     assert {(r.generation, r.refused) for r in got.collect()} == {(7, 4)}
+
+
+def test_refusals_name_the_closest_lane(spark):
+    layouts = spark.createDataFrame([
+        ("p", 0, "dit", 0, "a", ["BF16"], [2], False, False), ("p", 0, "dit", 0, "b", ["BF16"], [2], False, False), ("q", 1, "dit", 0, "a", ["F8"], [2], False, False), ("q", 1, "dit", 0, "s", ["F32"], [1], False, False),
+        ("other", 2, "x", 0, "k", ["F32"], [1], False, False),
+    ], LAYOUT)
+    headers = spark.createDataFrame([("one", "m", 0, "a", "BF16", [2]), ("one", "m", 1, "b", "BF16", [3]), ("two", "m", 0, "k", "F32", [1]), ("three", "m", 0, "a", "BF16", [2]), ("three", "m", 1, "b", "BF16", [2])], HEADER)
+    near = {r.artifact: (r.layout, r.matched, r.reason, r.tensor) for r in decide.closest_lane(headers, layouts, ["q", "p"]).collect()}
+    assert near == {"one": ("p", 1, "shape", "b"), "two": ("q", 0, "unclaimed", "k"), "three": ("q", 0, "dtype", "a")}
+    stamps = decide.stamp(headers, layouts)
+    admitted = spark.createDataFrame([("two", None, "refuse", "no-bridge"), ("three", "p", "admit", None)], "artifact string, lane string, decision string, reason string")
+    got = {r.artifact: (r.lane, r.decision, r.reason, r.closest, r.tensor, r.note) for r in decide.admit_files(headers, layouts, stamps, admitted, ["q", "p"]).collect()}
+    assert got == {"one": (None, "refuse", "shape", "p", "b", None), "two": (None, "refuse", "unclaimed", "q", "k", "other"), "three": ("p", "admit", None, None, None, None)}
+    assert {r.reason for r in decide.admit_files(headers, layouts, stamps, admitted, []).collect()} == {"no-lane"}
