@@ -32,6 +32,7 @@ from .common import _LOWER, hash_words, id_bucket, mix, pieces, raw_bytes, small
 SAMPLE_ROWS = 6_000  # labelled rows that the training may read
 SAMPLE_BYTES = 40_000_000  # and bytes of their texts
 TOXIC = 6.0
+CHUNK = 40_000  # words whose n-grams are made at once
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 SIZES = (3, 4, 5)
@@ -167,24 +168,44 @@ def train(texts: pa.Array | list[str], toxic: np.ndarray, steps: int = 150, rate
     hashes, one = np.unique(np.concatenate(known_), return_index=True)
     if not len(hashes):
         return zero
-    word, feature = subwords(*_cut(np.concatenate(letters_), begin[one], begin[one] + sizes[one]))
-    rows, cols = np.concatenate(rows_), np.searchsorted(hashes, np.concatenate(hashes_)).astype(np.int32)
-    del rows_, hashes_, known_, letters_, sizes_
-    n_words = len(hashes)
-    grams = np.bincount(word, minlength=n_words)
+    letters = np.concatenate(letters_)
+    del known_, letters_, sizes_
+    # N-grams of the words by word, some words at a time.
+    n_words, by_word, grams = len(hashes), [], []
+    for k in range(0, n_words, CHUNK):
+        which = one[k : k + CHUNK]
+        word, feature = subwords(*_cut(letters, begin[which], begin[which] + sizes[which]))
+        by_word.append(feature[np.argsort(word, kind="stable")])
+        grams.append(np.bincount(word, minlength=len(which)).astype(np.int32))
+    by_word, grams = np.concatenate(by_word), np.concatenate(grams)
+    del letters, begin, sizes, one, word, feature
+    rows, cols = np.concatenate(rows_), np.empty(sum(map(len, hashes_)), np.int32)
+    at = 0
+    for x in hashes_:
+        cols[at : at + len(x)] = np.searchsorted(hashes, x)
+        at += len(x)
+    del rows_, hashes_, hashes
     vals = (1 / np.bincount(rows, grams[cols], n)[rows]).astype(np.float32)  # an n-gram's share of the average
     cost = np.where(toxic > 0, TOXIC, 1.0) / n
-    # N-grams by word, and words by bucket.
-    order = np.argsort(word, kind="stable")
-    by_word, word_at = feature[order], np.cumsum(grams) - grams
-    order = np.argsort(feature, kind="stable")
-    by_bucket, used = word[order], feature[order]
-    bucket_at = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
-    used = used[bucket_at]
+    word_at = np.cumsum(grams) - grams
+    # And the words of each bucket.
+    size = np.bincount(by_word, minlength=BUCKETS)
+    used = np.flatnonzero(size)
+    bucket_at = (np.cumsum(size) - size)[used]
+    by_bucket = np.empty(len(by_word), np.int32)
+    fill = np.cumsum(size) - size
+    owner = np.repeat(np.arange(n_words, dtype=np.int32), grams)
+    for k in range(0, len(by_word), 1 << 20):
+        part = by_word[k : k + (1 << 20)]
+        order = np.argsort(part, kind="stable")
+        b, first, n_b = np.unique(part[order], return_index=True, return_counts=True)
+        by_bucket[np.repeat(fill[b] - first, n_b) + np.arange(len(part))] = owner[k : k + (1 << 20)][order]
+        fill[b] += n_b
+    del owner, fill, size
     place = np.zeros(BUCKETS, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     by_word = place[by_word]
-    del order, word, feature
+    trim()
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.05, (len(used), DIMENSIONS)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIMENSIONS, 2))
@@ -238,7 +259,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, s
     table = table.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("t", "ascending")])
     at = np.repeat(np.arange(len(table)), table.column("times").to_numpy())
     toxic = (table.column("toxic").to_numpy()[at] > 0).astype(float)
-    return train(table.column("text").combine_chunks().take(pa.array(at)), toxic)
+    model = train(table.column("text").combine_chunks().take(pa.array(at)), toxic)
+    del table
+    trim()  # the driver's process goes on
+    return model
 
 
 def _scorer(docs: DataFrame, model: Model):
