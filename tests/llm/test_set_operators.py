@@ -7,6 +7,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,6 +326,44 @@ def test_seating_follows_its_distribution():
     assert (many >= 1).all() and (many <= [5000, 64, 65]).all()
 
 
+def test_scores_match_brute_force(spark, monkeypatch):
+    """Every text's score by the definition, token by token, from the tables that were sampled."""
+    seen = {}
+    real = hpylm._scores
+    monkeypatch.setattr(hpylm, "_scores", lambda *x: seen.update(zip(("packed", "setup", "past", "burn_in"), x)) or real(*x))
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(0, 60))) if x < 500)) for i in range(150)] + [(900, "never seen words"), (901, None)]
+    got = {r.doc_id: r.score for r in hpylm.model_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    setup, past = seen["setup"], seen["past"]
+    part = hpylm.Part([r.asDict() for r in seen["packed"].collect() if r["words"] is not None])
+    pairs, counts = part.count()
+    state, samples = hpylm.Sweeps.of(0, part.hot, pairs, counts), []
+    customers = Counter()
+    for pair, c in zip(pairs.tolist(), counts.tolist()):
+        customers[pair % hpylm.CONTEXTS] += c
+    for n, (parent, tables) in enumerate(state.replay(setup, past)):
+        if n >= seen["burn_in"]:
+            several = iter(tables.tolist())
+            at = {pair: (c, next(several) if c > 1 else 1) for pair, c in zip(pairs.tolist(), counts.tolist())}
+            total = Counter()
+            for pair, (_, t) in at.items():
+                total[pair % hpylm.CONTEXTS] += t
+            samples.append((parent.tolist(), at, total))
+    number = {w: k for k, w in enumerate(part.words.tolist())}
+    d, s = setup["d1"], setup["s1"]
+    assert len(samples) == 3
+    for i, text in rows:
+        score = 0.0
+        for _, _, words_, contexts, _ in hpylm.doc_tokens(pa.array([text], pa.string())):
+            for w, u in zip((words_ >> np.uint64(24)).tolist(), contexts.tolist()):
+                k, p = number[w], 0.0
+                for parent, at, total in samples:
+                    c, t = at.get(k * hpylm.CONTEXTS + u, (0, 0))
+                    p += (c - d * t + (s + d * total[u]) * parent[k]) / (s + customers[u])
+                score += math.log10(p / len(samples))
+        assert math.isclose(got[i], score, rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_language_model_of_nothing(spark):
     assert hpylm.model_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     held = [i for i in range(50) if crc32(str(i).encode()) % 5 == 1]
