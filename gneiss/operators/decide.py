@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gneiss.operators.ordered import checkpoint
+
 
 def candidates(headers: DataFrame, layouts: DataFrame) -> DataFrame:
     """(artifact, layout, layout_ord) that counts and a probe don't rule out; it loses no layout that the headers are.
@@ -82,7 +83,7 @@ def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def match_layouts(headers: DataFrame, layouts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(artifact, layout, matched, reason, component, tensor) of each pair; a null reason: the headers are the layout."""
-    judged = accepts(headers, layouts, pairs).persist(StorageLevel.MEMORY_AND_DISK)  # read three times below
+    judged = checkpoint(accepts(headers, layouts, pairs))  # read three times below
     keys = ["artifact", "layout"]
     member = judged.groupBy(*keys, "member").agg(
         F.max(F.col("reason").isNull()).alias("any"), F.max_by(F.struct("reason", "component", "tensor", "matched"), F.struct("overlap", -F.col("component_ord"))).alias("why")
@@ -106,7 +107,7 @@ def match_layouts(headers: DataFrame, layouts: DataFrame, pairs: DataFrame) -> D
 def stamp(headers: DataFrame, layouts: DataFrame) -> DataFrame:
     """(artifact, layout, matched, reason, component, tensor): the first layout in order that the headers are; otherwise the
     refusal that matched most, the earliest of equal ones; ``no-stamp`` if no layout was a candidate."""
-    pairs = candidates(headers, layouts).persist(StorageLevel.MEMORY_AND_DISK)  # a few rows an artifact, read again and again
+    pairs = checkpoint(candidates(headers, layouts))  # a few rows an artifact, read again and again
     matched = match_layouts(headers, layouts, pairs).join(pairs, ["artifact", "layout"])
     value = F.struct("layout", "matched", "reason", "component", "tensor")
     order = F.struct(F.col("reason").isNull(), F.when(F.col("reason").isNull(), F.lit(0)).otherwise(F.col("matched")), -F.col("layout_ord"))
