@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gneiss.operators.morphisms import pattern_regex, pattern_template
 
@@ -74,8 +75,9 @@ def role_runs(tensors: DataFrame, contract: dict) -> DataFrame:
         "artifact", F.concat("base", "run.suffix").alias("role"), "name", "dtype", (F.col("offset") + F.col("run.before") * unit).alias("offset"), length.alias("length"), div(length, F.nullif(row_bytes, F.lit(0).cast("long"))).alias("rows"),
         F.slice("shape", 2, F.greatest(F.size("shape") - 1, F.lit(0))).alias("row_shape"), F.get(F.array(*permutes), F.col("entry")).alias("permute"), F.when(~F.coalesce(good, F.lit(False)), "rows").alias("why"),
     )
-    twice = out.groupBy("artifact", "role").agg((F.count("*") > 1).alias("twice"))
-    return out.join(twice, ["artifact", "role"]).withColumn("reason", F.coalesce("why", F.when(F.col("twice"), "duplicate-role"))).drop("why", "twice")
+    # A window and no join: a tensor makes many runs, which Spark's estimate doesn't count, so it would broadcast them.
+    twice = F.count("*").over(Window.partitionBy("artifact", "role")) > 1
+    return out.where("artifact is not null").withColumn("reason", F.coalesce("why", F.when(twice, "duplicate-role"))).drop("why")
 
 
 def decide(source: DataFrame, target: DataFrame) -> DataFrame:
