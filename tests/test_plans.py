@@ -14,7 +14,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["seam_decision"])
+@pytest.mark.parametrize("name", ["seam_decision", "seam_runs"])
 def test_nothing_is_broadcast(spark, name):
     assert "Broadcast" not in plan(__spark_entry__.queries()[name](spark, SF))
 
