@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gneiss.operators.ordered import checkpoint
+from gneiss.operators.ordered import checkpoint, few, large
 
 
 def candidates(headers: DataFrame, layouts: DataFrame) -> DataFrame:
@@ -23,35 +23,36 @@ def candidates(headers: DataFrame, layouts: DataFrame) -> DataFrame:
     shape = headers.groupBy("artifact").agg(F.count("*").alias("total"), F.min("name").alias("probe"))
     stats = layouts.groupBy("layout", "layout_ord").agg(F.count_if(~F.col("optional")).alias("required"), F.count("*").alias("most"), F.max("vacant").alias("vacant")).where(~F.col("vacant"))
     keys = layouts.select("layout", F.col("key").alias("probe")).distinct()
-    return shape.join(keys, "probe").join(stats, "layout").where("total between required and most").select("artifact", "layout", "layout_ord")
+    return shape.join(large(keys), "probe").join(stats, "layout").where("total between required and most").select("artifact", "layout", "layout_ord")
 
 
 def accepts(headers: DataFrame, layouts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each (artifact, layout) of ``pairs``, member, and component that declares any of its tensors (the first component,
+    """For each (artifact, layout) of ``pairs``, which is a checkpoint, member, and component that declares any of its tensors (the first component,
     if none does): tensors, those declared (overlap), those matched before the first disagreement, and that disagreement's
     reason and tensor (null: accepted).
 
     Tensors meet only the components that declare them. A member's tensors are numbered, so the first that a component
     doesn't declare is the first number that its hits lack, and no tensor has to be paired with a component to be missed."""
     keys = ["artifact", "layout", "member", "component", "component_ord"]
+    chosen = few(pairs.select("artifact", "layout"))
     ranked = headers.withColumn("rank", F.row_number().over(Window.partitionBy("artifact", "member").orderBy("ord")) - 1)
     sizes = ranked.groupBy("artifact", "member").agg(F.count("*").alias("tensors"))
     declared = layouts.select("layout", "component", "component_ord", F.col("key").alias("name"), "dtypes", F.col("shape").alias("declared"))
-    hits = ranked.join(pairs.select("artifact", "layout"), "artifact").join(declared, ["layout", "name"])
+    hits = ranked.join(chosen, "artifact").join(large(declared), ["layout", "name"])
     hits = hits.withColumn("why", F.when(F.col("declared") != F.col("shape"), "shape").when(~F.array_contains("dtypes", F.col("dtype")), "dtype"))
     hits = hits.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")) - 1)
     bad = F.when(F.col("why").isNotNull(), F.col("rank"))
     judged = hits.groupBy(*keys).agg(F.count("*").alias("overlap"), F.count_if(F.col("rank") == F.col("place")).alias("prefix"), F.min(bad).alias("bad"), F.min_by("why", bad).alias("why"), F.min_by("name", bad).alias("bad_name"))
     first = layouts.groupBy("layout").agg(F.min(F.struct("component_ord", "component")).alias("c"))
-    alone = sizes.join(pairs.select("artifact", "layout"), "artifact").join(judged.select("artifact", "layout", "member").distinct(), ["artifact", "layout", "member"], "left_anti").join(first, "layout")
+    alone = sizes.join(chosen, "artifact").join(judged.select("artifact", "layout", "member").distinct(), ["artifact", "layout", "member"], "left_anti").join(first, "layout")
     none = F.lit(None)
     alone = alone.select("artifact", "layout", "member", F.col("c.component").alias("component"), F.col("c.component_ord").alias("component_ord"), F.lit(0).cast("long").alias("overlap"), F.lit(0).cast("long").alias("prefix"), none.cast("int").alias("bad"), none.cast("string").alias("why"), none.cast("string").alias("bad_name"))
-    rows = judged.unionByName(alone).join(sizes, ["artifact", "member"])
+    rows = judged.unionByName(alone).join(large(sizes), ["artifact", "member"])
     lacking = F.when(F.col("prefix") < F.col("tensors"), F.col("prefix"))
     rows = rows.withColumn("lacking", lacking).withColumn("first", F.least("bad", "lacking"))
     rows = rows.withColumn("reason", F.when(F.col("first").isNull(), F.lit(None)).when(F.col("first") == F.col("bad"), F.col("why")).otherwise("unclaimed"))
     names = ranked.select("artifact", "member", F.col("rank").cast("long").alias("first"), F.col("name").alias("first_name"))
-    rows = rows.withColumn("first", F.col("first").cast("long")).join(names, ["artifact", "member", "first"], "left")
+    rows = rows.withColumn("first", F.col("first").cast("long")).join(large(names), ["artifact", "member", "first"], "left")
     return rows.select(*keys, "tensors", "overlap", F.coalesce("first", "tensors").alias("matched"), "reason", F.when(F.col("reason").isNotNull(), F.col("first_name")).alias("tensor"))
 
 
@@ -93,13 +94,13 @@ def match_layouts(headers: DataFrame, layouts: DataFrame, pairs: DataFrame) -> D
     whole = judged.join(refused.select(*keys), keys, "left_anti")
     names = headers.groupBy("artifact", "member").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("names"))
     # Members of an artifact are few; the greedy choice is sequential.
-    assigned = whole.join(names, ["artifact", "member"]).groupBy(*keys).applyInPandas(_assign, ASSIGNED)
+    assigned = whole.join(large(names), ["artifact", "member"]).groupBy(*keys).applyInPandas(_assign, ASSIGNED)
     doubled = assigned.where("reason is not null").select(*keys, "matched", "reason", "component", "tensor")
     good = assigned.where("reason is null")
     totals = good.groupBy(*keys).agg(F.max("matched").alias("matched"))
-    covered = good.join(headers.select("artifact", "member", F.col("name").alias("key")), ["artifact", "member"]).select(*keys, "component", "key")
-    needed = totals.select(*keys).join(layouts.where(~F.col("optional")).select("layout", "component", "component_ord", "key"), "layout")
-    lacking = needed.join(covered, [*keys, "component", "key"], "left_anti").groupBy(*keys).agg(F.min(F.struct("component_ord", "key", "component")).alias("m"))
+    covered = good.join(large(headers.select("artifact", "member", F.col("name").alias("key"))), ["artifact", "member"]).select(*keys, "component", "key")
+    needed = totals.select(*keys).join(large(layouts.where(~F.col("optional")).select("layout", "component", "component_ord", "key")), "layout")
+    lacking = needed.join(large(covered), [*keys, "component", "key"], "left_anti").groupBy(*keys).agg(F.min(F.struct("component_ord", "key", "component")).alias("m"))
     done = totals.join(lacking, keys, "left").select(*keys, "matched", F.when(F.col("m").isNotNull(), "missing").alias("reason"), F.col("m.component").alias("component"), F.col("m.key").alias("tensor"))
     return refused.unionByName(doubled).unionByName(done)
 
@@ -119,7 +120,7 @@ def stamp(headers: DataFrame, layouts: DataFrame) -> DataFrame:
 
 def stamp_all(headers: DataFrame, layouts: DataFrame) -> DataFrame:
     """(artifact, layout) of every match; more than one a checkpoint means two names for one packaging."""
-    pairs = candidates(headers, layouts)
+    pairs = checkpoint(candidates(headers, layouts))
     return match_layouts(headers, layouts, pairs).where("reason is null").select("artifact", "layout")
 
 
@@ -127,6 +128,7 @@ def closest_lane(headers: DataFrame, layouts: DataFrame, lanes: list[str]) -> Da
     """(artifact, layout, matched, reason, component, tensor): of the lanes' layouts that an artifact's headers aren't, the one
     that matched most, the first of equal ones, with its disagreement; artifacts that are all of the lanes have no row."""
     pairs = headers.select("artifact").distinct().withColumn("layout", F.explode(F.array(*map(F.lit, lanes))))
+    pairs = checkpoint(pairs)
     place = F.array_position(F.array(*map(F.lit, lanes)), F.col("layout"))
     refused = match_layouts(headers, layouts, pairs).where("reason is not null")
     best = refused.groupBy("artifact").agg(F.max_by(F.struct("layout", "matched", "reason", "component", "tensor"), F.struct(F.col("matched"), -place)).alias("v"))

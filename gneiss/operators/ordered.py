@@ -24,6 +24,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def large(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that grows with the input, so that the join sorts both sides. Spark's estimate starts from
+    compressed files and counts neither what is unpacked nor what rows explode into; it would send such a table to the driver."""
+    return df.hint("merge")
+
+
+def few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, which is a checkpoint, as a side of a join that is sent to all tasks if it was counted to be small, and is
+    ``large`` otherwise."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else large(df)
+
+
 def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lags: dict[str, Column] | None = None) -> DataFrame:
     """``rows`` with, for each of ``sums``, the sum of its values over the rows before in the group (0 for the first), and for
     each of ``lags`` the value of the row before (null for the first). Rows that are equal in ``order`` come in any order.

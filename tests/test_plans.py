@@ -1,11 +1,13 @@
 """What plans may send to the driver: Spark's estimates don't count what rows explode into, so tables that grow with the input
 aren't left to them. The tables here are small, and would be broadcast if the estimate chose."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from gneiss.operators import adapters
+from gneiss.operators import adapters, decide
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,6 +21,22 @@ def test_nothing_is_broadcast(spark, name):
     assert "Broadcast" not in plan(__spark_entry__.queries()[name](spark, SF))
 
 
+def broadcasts(df) -> list[set[str]]:
+    """The columns of each table that a plan broadcasts."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    found = re.findall(r"\) BroadcastExchange *\nInput \[\d+\]: \[([^\]]*)\]", df._jdf.queryExecution().explainString(mode))
+    return [{c.split("#")[0].strip() for c in x.split(",")} for x in found]
+
+
+@pytest.mark.parametrize("name", ["stamp", "closest_refusal", "stamp_all"])
+def test_no_table_of_tensors_is_broadcast(spark, name, monkeypatch):
+    """Neither in what the query returns nor in the steps whose lineage it cuts."""
+    sent, cut = [], decide.checkpoint
+    monkeypatch.setattr(decide, "checkpoint", lambda df: (sent.extend(broadcasts(df)), cut(df))[1])
+    sent += broadcasts(__spark_entry__.queries()[name](spark, SF))
+    assert sent and not [s for s in sent if s & {"name", "names", "key", "probe", "first_name", "rank"}]
+
+
 def test_roles_twice(spark):
     contract = {"tensors": [{"role": "r.{i}", "pattern": "l.{i}.w"}]}
     rows = [("a", "l.0.w", 8), ("a", "l.0.w", 8), ("a", "l.1.w", 8), ("b", "l.0.w", 8), (None, "l.0.w", 8), ("b", "other", 8)]
