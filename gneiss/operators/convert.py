@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.floats import bf16, e4m3, f16, rowwise_scale
+from gneiss.operators.ordered import large
 
 RECIPES = {"plain": ("cast",), "fp8-rowwise": ("cast", "quantize-rowwise"), "fp8-storage": ("cast", "quantize")}
 CASTABLE = ("F64", "F32", "F16", "BF16")
@@ -29,11 +30,11 @@ def conversion_plan(tensors: DataFrame, layout: DataFrame) -> DataFrame:
     """(artifact, name, step, reason) for tensors (artifact, component, name, dtype, shape) against a layout (component, key,
     dtypes, shape): inherit what isn't in it or fits it, refuse another shape, quantise to 8 bits where the layout has the
     scale and the tensor's artifact doesn't yet, cast between plain types."""
-    want = layout.select("component", F.col("key").alias("name"), "dtypes", F.col("shape").alias("declared"))
-    scales = layout.select("component", F.col("key").alias("scale_key"), F.lit(True).alias("scale_declared"))
-    have = tensors.select("artifact", "component", F.col("name").alias("scale_key"), F.lit(True).alias("scale_there"))
-    rows = tensors.join(want, ["component", "name"], "left").withColumn("scale_key", F.concat("name", F.lit("_scale")))
-    rows = rows.join(scales, ["component", "scale_key"], "left").join(have, ["artifact", "component", "scale_key"], "left")
+    scaled = lambda c: F.substr(c, F.lit(1), F.length(c) - len("_scale"))  # noqa: E731  the tensor that a scale belongs to
+    scales = layout.where(F.endswith("key", F.lit("_scale"))).select("component", scaled("key").alias("name")).distinct().withColumn("scale_declared", F.lit(True))
+    have = tensors.where(F.endswith("name", F.lit("_scale"))).select("artifact", "component", scaled("name").alias("name")).distinct().withColumn("scale_there", F.lit(True))
+    want = layout.select("component", F.col("key").alias("name"), "dtypes", F.col("shape").alias("declared")).join(large(scales), ["component", "name"], "left")
+    rows = tensors.select("artifact", "component", "name", "dtype", "shape").join(large(have), ["artifact", "component", "name"], "left").join(large(want), ["component", "name"], "left")
     fp8 = F.array_contains("dtypes", F.lit("F8_E4M3"))
     reason = (
         F.when(F.col("dtypes").isNull(), F.lit(None)).when(F.col("declared") != F.col("shape"), "shape").when(F.array_contains("dtypes", F.col("dtype")), F.lit(None))

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gneiss.functions.dtypes import is_quantised
 from gneiss.functions.shapes import dimensions
@@ -100,9 +101,10 @@ def apply_rule(topology: DataFrame, rule: dict) -> DataFrame:
     else:
         rows = rows.withColumn("out", passed).where(~F.col("hit"))
     out = rows.select("topology", F.lit(handle(rule)).alias("quant"), "component", "component_ord", "role", "out.*", F.col("hit").alias("transformed"))
-    twice = out.groupBy("topology", "component", "key").agg(F.count("*").alias("n"), F.max("transformed").alias("any_hit")).where("n > 1 and any_hit").drop("n", "any_hit")
-    out = out.join(twice.withColumn("twice", F.lit(True)), ["topology", "component", "key"], "left")
-    reason = F.when(F.col("shape").isNull(), "shape-formula").when(F.col("twice"), "emitted-twice")
+    w = Window.partitionBy("topology", "component", "key")  # no partial sums: they would hold all keys of a file in one task
+    named = F.col("topology").isNotNull() & F.col("component").isNotNull() & F.col("key").isNotNull()
+    twice = named & (F.count("*").over(w) > 1) & F.max("transformed").over(w)
+    reason = F.when(F.col("shape").isNull(), "shape-formula").when(twice, "emitted-twice")
     return out.withColumn("reason", reason).select(*LAYOUT)
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from gneiss.operators import adapters, decide
+from gneiss.operators import adapters, convert, decide, rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["seam_decision", "seam_runs"])
+@pytest.mark.parametrize("name", ["seam_decision", "seam_runs", "conversion_plan", "layout_emissions"])
 def test_nothing_is_broadcast(spark, name):
     assert "Broadcast" not in plan(__spark_entry__.queries()[name](spark, SF))
 
@@ -43,3 +43,20 @@ def test_roles_twice(spark):
     t = spark.createDataFrame(rows, "artifact string, name string, length bigint").select("*", F.lit("F32").alias("dtype"), F.array(F.lit(2).cast("long")).alias("shape"), F.lit(0).cast("long").alias("offset"))
     got = [tuple(r) for r in adapters.role_runs(t, contract).select("artifact", "role", "reason").collect()]
     assert sorted(got, key=str) == [("a", "r.0", "duplicate-role"), ("a", "r.0", "duplicate-role"), ("a", "r.1", None), ("b", "r.0", None)]
+
+
+def test_scales_twice(spark):
+    """A scale that a layout or an artifact has twice makes no row twice."""
+    layout = spark.createDataFrame([("c", "w", ["F8_E4M3"], [2]), ("c", "w_scale", ["F32"], [1]), ("c", "w_scale", ["F32"], [2])], "component string, key string, dtypes array<string>, shape array<bigint>")
+    t = spark.createDataFrame([("a", "c", "w", "F32", [2]), ("b", "c", "w", "F32", [2]), ("b", "c", "w_scale", "U8", [9]), ("b", "c", "w_scale", "U8", [9])], "artifact string, component string, name string, dtype string, shape array<bigint>")
+    got = [tuple(r) for r in convert.conversion_plan(t, layout).where("name = 'w'").select("artifact", "step", "reason").collect()]
+    assert sorted(got) == [("a", "quantize-rowwise", None), ("b", "inherit", None)]
+
+
+def test_emitted_twice(spark):
+    """Also beside rows without a component, which are nobody's."""
+    rule = {"name": "d.r", "version": 1, "base_dtype": "BF16", "eligible": {"key_suffix": ".w"}, "emissions": [{"key": "{module}.s", "dtype": "F32", "shape": ["d0"]}]}
+    rows = [("t", "c", "a.w"), ("t", "c", "a.s"), ("t", "c", "b.w"), ("t", None, "a.w"), ("t", None, "a.w"), ("t", "d", "e.s"), ("t", "d", "e.s")]
+    df = spark.createDataFrame(rows, "topology string, component string, key string").select("*", F.lit(0).alias("component_ord"), F.lit("r").alias("role"), F.array(F.lit(4).cast("long")).alias("shape"), F.lit(None).cast("string").alias("island"), F.lit("BF16").alias("dtype"))
+    got = [tuple(r) for r in rules.apply_rule(df, rule).select("component", "key", "reason").collect()]
+    assert sorted(got, key=str) == [("c", "a.s", "emitted-twice"), ("c", "a.s", "emitted-twice"), ("c", "b.s", None), ("d", "e.s", None), ("d", "e.s", None), (None, "a.s", None), (None, "a.s", None)]
