@@ -201,25 +201,32 @@ def admit(stamps: DataFrame, lanes: DataFrame, routes_: DataFrame, rules: DataFr
     highest tier), or refused.
 
     stamps: artifact, topology, quant, arrangement; lanes: lane, lane_ord and the same three; routes_: source, target, hops,
-    steps, cost, worst; rules: quant, transforms, inverse; arrangements: arrangement, rank, candidate. All but the stamps are catalogue
-    tables; the joins are on keys."""
+    steps, cost, worst; rules: quant, transforms, inverse; arrangements: arrangement, rank, candidate. All but the stamps are
+    catalogue tables, so they go to the stamps: a topology's lanes as one array, of which each stamp takes the least."""
+    r = routes_.where("source <> target").select(F.col("source").alias("s_topology"), F.col("target").alias("topology"), F.col("hops").cast("int").alias("hops"), F.col("cost").cast("long").alias("route_cost"), "steps", F.col("worst").cast("int").alias("worst"))
+    own = lanes.select(F.col("topology").alias("s_topology"), "topology").distinct().select("s_topology", "topology", F.lit(0).alias("hops"), F.lit(0).cast("long").alias("route_cost"), F.array().cast("array<string>").alias("steps"), F.lit(0).alias("worst"))
+    rule = rules.select("quant", F.struct("transforms", "inverse").alias("rule"))
+    record = arrangements.select("arrangement", F.struct("rank", "candidate").alias("record"))
+    offered = r.unionByName(own).join(lanes, "topology").join(rule, "quant").join(record, "arrangement", "left")
+    offered = offered.groupBy("s_topology").agg(F.collect_list(F.struct("lane", "lane_ord", "hops", "route_cost", "worst", "steps", "quant", "rule", "arrangement", "record")).alias("offered"))
     s = stamps.select("artifact", *(F.col(c).alias(f"s_{c}") for c in ("topology", "quant", "arrangement")))
-    r = routes_.select(F.col("source").alias("s_topology"), F.col("target").alias("topology"), "hops", F.col("cost").alias("route_cost"), "steps", "worst")
-    own = stamps.select(F.col("topology").alias("s_topology")).distinct().select("s_topology", F.col("s_topology").alias("topology"), F.lit(0).alias("hops"), F.lit(0).cast("long").alias("route_cost"), F.array().cast("array<string>").alias("steps"), F.lit(0).alias("worst"))
-    r = r.where("s_topology <> topology").select("s_topology", "topology", F.col("hops").cast("int").alias("hops"), F.col("route_cost").cast("long").alias("route_cost"), "steps", F.col("worst").cast("int").alias("worst")).unionByName(own)
-    pairs = s.join(r, "s_topology").join(lanes, "topology")
-    for side in ("s_", ""):
-        pairs = pairs.join(rules.select(F.col("quant").alias(f"{side}quant"), F.struct("transforms", "inverse").alias(f"{side}rule")), f"{side}quant")
-        pairs = pairs.join(arrangements.select(F.col("arrangement").alias(f"{side}arrangement"), F.struct("rank", "candidate").alias(f"{side}record")), f"{side}arrangement", "left")
-    pairs = pairs.withColumn("q", requant(F.col("s_quant"), F.col("quant"), F.col("s_rule.transforms"), F.col("rule.transforms"), F.col("s_rule.inverse")))
-    pairs = pairs.withColumn("l", relayout(F.col("s_arrangement"), F.col("arrangement"), F.col("s_record"), F.col("record")))
-    pairs = pairs.withColumn("reason", F.coalesce("q.reason", "l.reason")).withColumn("cost", F.col("route_cost") + F.col("q.tier") + F.col("l.tier"))
-    exact = (F.col("hops") == 0) & (F.col("s_quant") == F.col("quant")) & (F.col("s_arrangement") == F.col("arrangement"))
-    pairs = pairs.withColumn("exact", exact)
-    others = F.filter(F.array(F.nullif(F.col("q.step"), F.lit("none")), F.col("l.step")), lambda x: x.isNotNull())
-    value = F.struct("lane", "exact", "cost", "hops", F.greatest(F.col("q.tier"), F.col("l.tier"), F.col("worst")).alias("worst"), F.concat("steps", others).alias("steps"), "reason")
-    order = F.struct(F.col("reason").isNotNull(), ~F.col("exact"), "cost", "lane_ord")
-    best = stamps.select("artifact").join(pairs.groupBy("artifact").agg(F.min_by(value, order).alias("v")), "artifact", "left")
+    for side, by in ((offered, "s_topology"), (rule.toDF("s_quant", "s_rule"), "s_quant"), (record.toDF("s_arrangement", "s_record"), "s_arrangement")):
+        s = s.join(F.broadcast(side), by, "left")
+    steps = lambda o: F.struct(
+        o.alias("o"), requant(F.col("s_quant"), o["quant"], F.col("s_rule.transforms"), o["rule"]["transforms"], F.col("s_rule.inverse")).alias("q"), relayout(F.col("s_arrangement"), o["arrangement"], F.col("s_record"), o["record"]).alias("l")
+    )
+
+    def judged(p: Column) -> Column:
+        o, q, l = p["o"], p["q"], p["l"]  # noqa: E741
+        reason, cost = F.coalesce(q["reason"], l["reason"]), o["route_cost"] + q["tier"] + l["tier"]
+        exact = (o["hops"] == 0) & (F.col("s_quant") == o["quant"]) & (F.col("s_arrangement") == o["arrangement"])
+        others = F.array_compact(F.array(F.nullif(q["step"], F.lit("none")), l["step"]))
+        order = [reason.isNotNull().alias("refused"), (~exact).alias("inexact"), cost.alias("cost"), o["lane_ord"].alias("lane_ord")]
+        return F.struct(*order, o["lane"].alias("lane"), exact.alias("exact"), o["hops"].alias("hops"), F.greatest(q["tier"], l["tier"], o["worst"]).alias("worst"), F.concat(o["steps"], others).alias("steps"), reason.alias("reason"))
+
+    known = F.col("artifact").isNotNull() & F.col("s_rule").isNotNull()
+    s = s.select("artifact", F.when(known, F.array_min(F.transform(F.transform("offered", steps), judged))).alias("v"))
+    best = s.select("artifact", F.min("v").over(Window.partitionBy("artifact")).alias("v"))
     good = F.col("v").isNotNull() & F.col("v.reason").isNull()
     return best.select(
         "artifact", F.when(good, F.col("v.lane")).alias("lane"), F.when(good, F.when(F.col("v.exact"), "admit").otherwise("derive")).otherwise("refuse").alias("decision"),

@@ -37,6 +37,26 @@ def test_no_table_of_tensors_is_broadcast(spark, name, monkeypatch):
     assert sent and not [s for s in sent if s & {"name", "names", "key", "probe", "first_name", "rank"}]
 
 
+@pytest.mark.parametrize("name", ["admit", "derivation_steps"])
+def test_no_stamps_are_broadcast(spark, name):
+    sent = broadcasts(__spark_entry__.queries()[name](spark, SF))
+    assert sent and not [s for s in sent if "artifact" in s]
+
+
+def test_admits_odd_stamps(spark):
+    """One artifact with two stamps gets the better way twice; no name, or a quantisation that no rule has, finds none."""
+    stamps = spark.createDataFrame([("d", "a", "plain", "t"), ("d", "b", "plain", "t"), (None, "b", "plain", "t"), ("q", "b", "odd", "t"), ("x", "x", "plain", "t"), ("y", "y", "plain", "gone")], "artifact string, topology string, quant string, arrangement string")
+    lanes = spark.createDataFrame([("L", 0, "b", "plain", "t"), ("M", 1, "b", "plain", "u"), ("Y", 2, "y", "plain", "t")], "lane string, lane_ord int, topology string, quant string, arrangement string")
+    routes = spark.createDataFrame([("a", "b", 1, ["m"], 4, 4), ("b", "b", 0, [], 0, 0)], "source string, target string, hops int, steps array<string>, cost int, worst int")
+    quants = spark.createDataFrame([("plain", False, False)], "quant string, transforms boolean, inverse boolean")
+    records = spark.createDataFrame([("t", 2, False), ("u", 2, False)], "arrangement string, rank int, candidate boolean")
+    for rows, want in ((stamps, [("L", "admit", 0, [], False, None)] * 2), (stamps.where("topology = 'a'"), [("L", "derive", 4, ["m"], True, None)])):
+        got = decide.admit(rows, lanes, routes, quants, records).select("artifact", "lane", "decision", "cost", "steps", "lossy", "reason").collect()
+        assert [tuple(r)[1:] for r in got if r.artifact == "d"] == want
+    got = [tuple(r) for r in decide.admit(stamps, lanes, routes, quants, records).where("artifact is null or artifact <> 'd'").select("artifact", "decision", "reason").collect()]
+    assert sorted(got, key=str) == [("q", "refuse", "no-bridge"), ("x", "refuse", "no-bridge"), ("y", "refuse", "no-record"), (None, "refuse", "no-bridge")]
+
+
 def test_roles_twice(spark):
     contract = {"tensors": [{"role": "r.{i}", "pattern": "l.{i}.w"}]}
     rows = [("a", "l.0.w", 8), ("a", "l.0.w", 8), ("a", "l.1.w", 8), ("b", "l.0.w", 8), (None, "l.0.w", 8), ("b", "other", 8)]
