@@ -6,6 +6,7 @@ Declared objects are a table (session, ord, digest, size); a store's inventory (
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,9 +26,21 @@ def file_objects(files: DataFrame) -> DataFrame:
     return files.select("session", "path", F.posexplode(F.coalesce(chunks, whole)).alias("ord", "o")).select("session", "path", "ord", F.col("o.digest").alias("digest"), F.col("o.len").alias("size"))
 
 
-def manifest_refusals(files: DataFrame) -> DataFrame:
-    """(session, reason): over the limits, chunk sums that differ from the file, paths twice or twice but for case, two
-    sizes for one digest."""
+class Limits(NamedTuple):
+    """What one declaration may have; a service may choose others. None: as many as there are."""
+
+    files: int | None = MOST_FILES
+    objects: int | None = MOST_OBJECTS
+    object_size: int | None = MOST_OBJECT
+    total_size: int | None = MOST_TOTAL
+
+
+UNBOUNDED = Limits(None, None, None, None)
+
+
+def manifest_refusals(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(session, reason): chunk sums that differ from the file, paths twice or twice but for case; then what is over the
+    limits or has two sizes for one digest."""
     o = file_objects(files)
     f = files.withColumn("sum", F.aggregate(F.coalesce("chunks", F.array().cast("array<struct<digest:string,len:bigint>>")), F.lit(0).cast("long"), lambda a, c: a + c["len"]))
     per_file = f.groupBy("session").agg(
@@ -36,9 +49,10 @@ def manifest_refusals(files: DataFrame) -> DataFrame:
     paths = files.groupBy("session", F.translate("path", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("p")).agg(F.count("*").alias("n"), F.count_distinct("path").alias("d"))
     clash = paths.groupBy("session").agg(F.max(F.col("n") > F.col("d")).alias("twice"), F.max(F.col("d") > 1).alias("folded"))
     sizes = o.groupBy("session", "digest").agg((F.min("size") != F.max("size")).alias("two")).groupBy("session").agg(F.max("two").alias("two"), F.count("*").alias("objects"))
+    over = lambda c, most: F.lit(False) if most is None else F.col(c) > most
     reason = (
-        F.when(F.col("files") > MOST_FILES, "files").when(F.col("objects") > MOST_OBJECTS, "objects").when(F.col("largest") > MOST_OBJECT, "object-size").when(F.col("total") > MOST_TOTAL, "total-size")
-        .when(F.col("bad_sums") > 0, "chunk-sum").when(F.col("twice"), "path-twice").when(F.col("folded"), "path-case").when(F.col("two"), "two-sizes")
+        F.when(F.col("bad_sums") > 0, "chunk-sum").when(F.col("twice"), "path-twice").when(F.col("folded"), "path-case").when(over("files", limits.files), "files")
+        .when(over("largest", limits.object_size), "object-size").when(over("total", limits.total_size), "total-size").when(F.col("two"), "two-sizes").when(over("objects", limits.objects), "objects")
     )
     return per_file.join(clash, "session").join(sizes, "session").select("session", reason.alias("reason")).where("reason is not null")
 

@@ -3,11 +3,12 @@ aren't left to them. The tables here are small, and would be broadcast if the es
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from gneiss.operators import adapters, convert, decide, rules
+from gneiss.operators import adapters, convert, decide, rules, transfer
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +81,25 @@ def test_emitted_twice(spark):
     df = spark.createDataFrame(rows, "topology string, component string, key string").select("*", F.lit(0).alias("component_ord"), F.lit("r").alias("role"), F.array(F.lit(4).cast("long")).alias("shape"), F.lit(None).cast("string").alias("island"), F.lit("BF16").alias("dtype"))
     got = [tuple(r) for r in rules.apply_rule(df, rule).select("component", "key", "reason").collect()]
     assert sorted(got, key=str) == [("c", "a.s", "emitted-twice"), ("c", "a.s", "emitted-twice"), ("c", "b.s", None), ("d", "e.s", None), ("d", "e.s", None), (None, "a.s", None), (None, "a.s", None)]
+
+
+def test_manifests_of_many_files(spark, tmp_path):
+    """Languages of more documents than one declaration may have files: the query answers as its SQL, as if the service allowed them."""
+    lang = F.when(F.col("id") < 6, F.element_at(F.array(*map(F.lit, ("de", "es", "fr"))), (F.shiftright("id", 1) + 1).cast("int"))).when(F.col("id") < 100_010, "fr").otherwise("en")
+    spark.range(210_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), lang.alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in __spark_entry__.queries()["manifest_refusals"](spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got) == sorted(db.sql(__spark_entry__.oracle_sql()["manifest_refusals"]).fetchall())
+
+
+def test_limits_of_manifests(spark):
+    """The reference checks sums and paths before its limits, and the number of objects last."""
+    ref = "sha256:" + "0" * 64
+    rows = [("sum", "a", 3, ref, [(ref, 2)]), ("sum", "b", 3, ref, None), ("many", "a", 1, ref, None), ("many", "b", 1, "x", None), ("big", "a", 9, ref, None), ("all", "a", 5, ref, None), ("two", "a", 1, ref, None), ("two", "b", 2, ref, None), ("ok", "a", 1, ref, None)]
+    df = spark.createDataFrame(rows, "session string, path string, size_bytes bigint, digest string, chunks array<struct<digest:string,len:bigint>>")
+    reasons = lambda **x: dict(tuple(r) for r in transfer.manifest_refusals(df, transfer.Limits(**x)).collect())
+    assert reasons() == {"sum": "chunk-sum", "two": "two-sizes"}
+    assert reasons(files=1) == {"sum": "chunk-sum", "many": "files", "two": "files"}
+    assert reasons(objects=1, object_size=8, total_size=4) == {"sum": "chunk-sum", "many": "objects", "big": "object-size", "all": "total-size", "two": "two-sizes"}
+    assert transfer.Limits() == (100_000, 200_000, 512 << 30, 4 << 40)
