@@ -89,7 +89,9 @@ def decide(source: DataFrame, target: DataFrame) -> DataFrame:
     rows = s.join(t, ["artifact", "role"], "full")
     bad = (F.col("there").isNull() & F.col("required")) | F.col("wanted").isNull() | (F.col("there") & F.col("wanted") & ((F.col("sd") != F.col("dtype")) | (F.col("sl") != F.col("length"))))
     moved = F.col("there") & F.col("wanted") & ~F.col("sp").eqNullSafe(F.col("permute"))
-    out = rows.groupBy("artifact").agg(F.min(F.when(F.coalesce(bad, F.lit(False)), F.col("role"))).alias("bad"), F.max(F.coalesce(moved, F.lit(False))).alias("moved"))
+    # First by the bad role, which is null for most: the least text of all rows would be had by sorting them in each task.
+    out = rows.groupBy("artifact", F.when(F.coalesce(bad, F.lit(False)), F.col("role")).alias("bad")).agg(F.max(F.coalesce(moved, F.lit(False))).alias("moved"))
+    out = out.groupBy("artifact").agg(F.min("bad").alias("bad"), F.max("moved").alias("moved"))
     return out.select("artifact", F.when(F.col("bad").isNotNull(), "conversion").when(F.col("moved"), "rearranged").otherwise("run-preserving").alias("decision"), F.col("bad").alias("role"))
 
 
