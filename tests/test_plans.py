@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from gneiss.operators import adapters, convert, decide, rules, transfer
+from gneiss.operators.ordered import checkpoint as cut
+from gneiss.operators.ordered import few
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,7 +34,7 @@ def broadcasts(df) -> list[set[str]]:
 @pytest.mark.parametrize("name", ["stamp", "closest_refusal", "stamp_all"])
 def test_no_table_of_tensors_is_broadcast(spark, name, monkeypatch):
     """Neither in what the query returns nor in the steps whose lineage it cuts."""
-    sent, cut = [], decide.checkpoint
+    sent = []
     monkeypatch.setattr(decide, "checkpoint", lambda df: (sent.extend(broadcasts(df)), cut(df))[1])
     sent += broadcasts(__spark_entry__.queries()[name](spark, SF))
     assert sent and not [s for s in sent if s & {"name", "names", "key", "probe", "first_name", "rank"}]
@@ -58,6 +60,12 @@ def test_admits_odd_stamps(spark):
     assert sorted(got, key=str) == [("q", "refuse", "no-bridge"), ("x", "refuse", "no-bridge"), ("y", "refuse", "no-record"), (None, "refuse", "no-bridge")]
 
 
+def test_few(spark):
+    """What was counted to be small is broadcast, whatever was estimated, and what is larger isn't."""
+    rows, other = cut(spark.range(3)), spark.range(2)
+    assert broadcasts(other.join(few(rows, 3), "id")) == [{"id"}] and broadcasts(other.join(few(rows, 2), "id")) == []
+
+
 def test_roles_twice(spark):
     contract = {"tensors": [{"role": "r.{i}", "pattern": "l.{i}.w"}]}
     rows = [("a", "l.0.w", 8), ("a", "l.0.w", 8), ("a", "l.1.w", 8), ("b", "l.0.w", 8), (None, "l.0.w", 8), ("b", "other", 8)]
