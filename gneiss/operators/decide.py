@@ -23,7 +23,7 @@ def candidates(headers: DataFrame, layouts: DataFrame) -> DataFrame:
     shape = headers.groupBy("artifact").agg(F.count("*").alias("total"), F.min("name").alias("probe"))
     stats = layouts.groupBy("layout", "layout_ord").agg(F.count_if(~F.col("optional")).alias("required"), F.count("*").alias("most"), F.max("vacant").alias("vacant")).where(~F.col("vacant"))
     keys = layouts.select("layout", F.col("key").alias("probe")).distinct()
-    return shape.join(large(keys), "probe").join(stats, "layout").where("total between required and most").select("artifact", "layout", "layout_ord")
+    return shape.join(large(keys), "probe").join(large(stats), "layout").where("total between required and most").select("artifact", "layout", "layout_ord")
 
 
 def accepts(headers: DataFrame, layouts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def accepts(headers: DataFrame, layouts: DataFrame, pairs: DataFrame) -> DataFra
     bad = F.when(F.col("why").isNotNull(), F.col("rank"))
     judged = hits.groupBy(*keys).agg(F.count("*").alias("overlap"), F.count_if(F.col("rank") == F.col("place")).alias("prefix"), F.min(bad).alias("bad"), F.min_by("why", bad).alias("why"), F.min_by("name", bad).alias("bad_name"))
     first = layouts.groupBy("layout").agg(F.min(F.struct("component_ord", "component")).alias("c"))
-    alone = sizes.join(chosen, "artifact").join(judged.select("artifact", "layout", "member").distinct(), ["artifact", "layout", "member"], "left_anti").join(first, "layout")
+    alone = sizes.join(chosen, "artifact").join(large(judged.select("artifact", "layout", "member").distinct()), ["artifact", "layout", "member"], "left_anti").join(large(first), "layout")
     none = F.lit(None)
     alone = alone.select("artifact", "layout", "member", F.col("c.component").alias("component"), F.col("c.component_ord").alias("component_ord"), F.lit(0).cast("long").alias("overlap"), F.lit(0).cast("long").alias("prefix"), none.cast("int").alias("bad"), none.cast("string").alias("why"), none.cast("string").alias("bad_name"))
     rows = judged.unionByName(alone).join(large(sizes), ["artifact", "member"])
@@ -91,7 +91,7 @@ def match_layouts(headers: DataFrame, layouts: DataFrame, pairs: DataFrame) -> D
     )
     refused = member.where(~F.col("any")).groupBy(*keys).agg(F.min_by("why", "member").alias("why"))
     refused = refused.select(*keys, F.col("why.matched").alias("matched"), F.col("why.reason").alias("reason"), F.col("why.component").alias("component"), F.col("why.tensor").alias("tensor"))
-    whole = judged.join(refused.select(*keys), keys, "left_anti")
+    whole = judged.join(large(refused.select(*keys)), keys, "left_anti")
     names = headers.groupBy("artifact", "member").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("names"))
     # Members of an artifact are few; the greedy choice is sequential.
     assigned = whole.join(large(names), ["artifact", "member"]).groupBy(*keys).applyInPandas(_assign, ASSIGNED)
@@ -101,7 +101,7 @@ def match_layouts(headers: DataFrame, layouts: DataFrame, pairs: DataFrame) -> D
     covered = good.join(large(headers.select("artifact", "member", F.col("name").alias("key"))), ["artifact", "member"]).select(*keys, "component", "key")
     needed = totals.select(*keys).join(large(layouts.where(~F.col("optional")).select("layout", "component", "component_ord", "key")), "layout")
     lacking = needed.join(large(covered), [*keys, "component", "key"], "left_anti").groupBy(*keys).agg(F.min(F.struct("component_ord", "key", "component")).alias("m"))
-    done = totals.join(lacking, keys, "left").select(*keys, "matched", F.when(F.col("m").isNotNull(), "missing").alias("reason"), F.col("m.component").alias("component"), F.col("m.key").alias("tensor"))
+    done = totals.join(large(lacking), keys, "left").select(*keys, "matched", F.when(F.col("m").isNotNull(), "missing").alias("reason"), F.col("m.component").alias("component"), F.col("m.key").alias("tensor"))
     return refused.unionByName(doubled).unionByName(done)
 
 
@@ -109,11 +109,11 @@ def stamp(headers: DataFrame, layouts: DataFrame) -> DataFrame:
     """(artifact, layout, matched, reason, component, tensor): the first layout in order that the headers are; otherwise the
     refusal that matched most, the earliest of equal ones; ``no-stamp`` if no layout was a candidate."""
     pairs = checkpoint(candidates(headers, layouts))  # a few rows an artifact, read again and again
-    matched = match_layouts(headers, layouts, pairs).join(pairs, ["artifact", "layout"])
+    matched = match_layouts(headers, layouts, pairs).join(large(pairs), ["artifact", "layout"])
     value = F.struct("layout", "matched", "reason", "component", "tensor")
     order = F.struct(F.col("reason").isNull(), F.when(F.col("reason").isNull(), F.lit(0)).otherwise(F.col("matched")), -F.col("layout_ord"))
     best = matched.groupBy("artifact").agg(F.max_by(value, order).alias("v"))
-    out = headers.select("artifact").distinct().join(best, "artifact", "left")
+    out = headers.select("artifact").distinct().join(large(best), "artifact", "left")
     hit = F.col("v.reason").isNull() & F.col("v").isNotNull()
     return out.select("artifact", F.when(hit, F.col("v.layout")).alias("layout"), F.coalesce("v.matched", F.lit(0)).alias("matched"), F.when(~hit, F.coalesce(F.col("v.reason"), F.lit("no-stamp"))).alias("reason"), F.col("v.component").alias("component"), F.col("v.tensor").alias("tensor"))
 
@@ -143,10 +143,10 @@ def admit_files(headers: DataFrame, layouts: DataFrame, stamps: DataFrame, admit
     empty = F.lit(None).cast("string")
     if not lanes:
         return every.select("artifact", empty.alias("lane"), F.lit("refuse").alias("decision"), F.lit("no-lane").alias("reason"), empty.alias("closest"), empty.alias("component"), empty.alias("tensor"), empty.alias("note"))
-    rows = every.join(stamps.select("artifact", F.col("layout").alias("stamp"), F.col("reason").alias("unstamped")), "artifact", "left").join(admitted.select("artifact", "lane", "decision", F.col("reason").alias("why")), "artifact", "left")
+    rows = every.join(large(stamps.select("artifact", F.col("layout").alias("stamp"), F.col("reason").alias("unstamped"))), "artifact", "left").join(large(admitted.select("artifact", "lane", "decision", F.col("reason").alias("why"))), "artifact", "left")
     open_ = F.col("stamp").isNull() | (F.col("why") == "no-bridge")
     near = closest_lane(headers, layouts, lanes).select("artifact", F.col("layout").alias("closest"), F.col("reason").alias("near"), "component", "tensor")
-    rows = rows.join(near, "artifact", "left")
+    rows = rows.join(large(near), "artifact", "left")
     return rows.select(
         "artifact", F.when(F.col("stamp").isNotNull(), F.col("lane")).alias("lane"), F.when(F.col("stamp").isNull(), "refuse").otherwise(F.coalesce("decision", F.lit("refuse"))).alias("decision"),
         F.when(open_, F.coalesce("near", "unstamped", F.lit("unrelated"))).otherwise(F.col("why")).alias("reason"), *(F.when(open_, F.col(c)).alias(c) for c in ("closest", "component", "tensor")), F.when(F.col("why") == "no-bridge", F.col("stamp")).alias("note"),

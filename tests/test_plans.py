@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from gneiss.operators import adapters, convert, decide, rules, transfer
 from gneiss.operators.ordered import checkpoint as cut
-from gneiss.operators.ordered import few
+from gneiss.operators.ordered import few, large
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,6 +40,16 @@ def test_no_table_of_tensors_is_broadcast(spark, name, monkeypatch):
     assert sent and not [s for s in sent if s & {"name", "names", "key", "probe", "first_name", "rank"}]
 
 
+@pytest.mark.parametrize("name", ["stamp", "closest_refusal", "stamp_all"])
+def test_only_what_was_counted_is_broadcast(spark, name, monkeypatch):
+    """Artifacts and layouts grow with the input too: beside the pairs that were counted, nothing a row of theirs is sent."""
+    plans = []
+    monkeypatch.setattr(decide, "few", large)
+    monkeypatch.setattr(decide, "checkpoint", lambda df: (plans.append(plan(df)), cut(df))[1])
+    plans.append(plan(__spark_entry__.queries()[name](spark, SF)))
+    assert len(plans) == 3 and not [p for p in plans if "Broadcast" in p]
+
+
 @pytest.mark.parametrize("name", ["admit", "derivation_steps"])
 def test_no_stamps_are_broadcast(spark, name):
     sent = broadcasts(__spark_entry__.queries()[name](spark, SF))
